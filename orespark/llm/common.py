@@ -61,6 +61,29 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+class Kept(dict):
+    """Results of ``make`` by key. When there are MOST, those of the generation before go, so what comes again and again
+    stays and memory is bounded."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.MOST:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = x.astype(np.uint64)

@@ -7,6 +7,15 @@ import importlib
 #: Module of each query; each has QUERY(spark, sf_dir) and may have ORACLE.
 MODULES = {
     "op1_ngram_jaccard_join": "q1",
+    "op2_license_scan": "q2",
+    "op3_token_counts": "q3",
+    "op4_secret_scan": "q4",
+    "op5_quality_rules": "q5",
+    "op6_chat_format": "q6",
+    "op7_pii": "q7",
+    "op8_decontaminate": "q8",
+    "op9_language_id": "q9",
+    "op10_bpe_codec": "q10",
 }
 
 

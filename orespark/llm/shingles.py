@@ -8,22 +8,19 @@ import numpy as np
 import xxhash
 import zstandard
 
+from .common import Kept
+
 #: Words of a shingle, and the part of the union that two linked sets share at least, in percent.
 WORDS, PERCENT = 5, 80
 
 
-class WordHashes(dict):
-    """Hash of each word, kept while there are few."""
-
-    LIMIT = 400_000
+class WordHashes(Kept):
+    """Hash of each word."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
     def of(self, words: list[list[bytes]], total: int) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
         return np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.uint64, total)
 
 
