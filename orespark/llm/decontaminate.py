@@ -202,3 +202,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         found = docs.mapInArrow(runner(sc.broadcast((items.ids, items.texts, items.hashes, items.item, items.place))), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDITS) -> DataFrame:
+    """Those rows of docs (with all their columns) that hold no copy of an item, as in ``contaminated``."""
+    sc = docs.sparkSession.sparkContext
+
+    def runner(sent):
+        def run(batches):
+            items = Items(*sent.value)
+            table = items.table()
+            for batch in text_slices(batches, text_col, limit=4 << 20):
+                got = search([folded(t) for t in as_texts(batch.column(text_col))], items, table, rate)
+                clean = np.ones(batch.num_rows, bool)
+                clean[[g[0] for g in got]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for items in blocks(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(runner(sc.broadcast((items.ids, items.texts, items.hashes, items.item, items.place))), docs.schema)
+    return docs

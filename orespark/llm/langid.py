@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import as_texts, summed_arrays, text_slices
 
@@ -173,18 +174,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, (30.0 * weights * idf[:, None]).astype(np.float32), bias, temperature)
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row; ``und`` with score 0 if the text is null or has no letter."""
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score", drop: list[str] = ()) -> DataFrame:
+    """docs without the columns of ``drop``, with two more: the language, ``und`` with score 0 if the text is null or has no
+    letter, and its probability."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.temperature, letter_table()))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = [c for c in docs.columns if c not in drop]
 
     def run(batches):
         model, letters = Model(*sent.value[:4]), sent.value[4]
-        for batch in text_slices(batches, limit=1 << 20):
-            names, score = model.predict(as_texts(batch.column("text")), letters)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for batch in text_slices(batches, text_col, limit=1 << 20):
+            names, p = model.predict(as_texts(batch.column(text_col)), letters)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(names, pa.string()), pa.array(p, pa.float64())], names=[*kept, pred, score])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in kept]).add(pred, "string").add(score, "double"))
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -192,6 +194,13 @@ def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return named.where(~held_out("doc_id")).where("doc_id is not null and text is not null and lang is not null")
 
 
+def known_language(docs: DataFrame, *, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """Those rows of docs (doc_id, text, lang and any others) whose language is told with at least this probability."""
+    pred, score = "__lang_pred", "__lang_score"
+    told = identify(docs, fit(learnable(docs), sample), pred=pred, score=score)
+    return told.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(docs.columns)
+
+
 def language_id(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang).
 
@@ -199,5 +208,5 @@ def language_id(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     prediction is ``und``. lang, source and doc_id are no inputs of a prediction. Repeated rows stay; a null id is not held
     out. An empty table gives an empty result. Other columns are not read.
     """
-    out = identify(docs, fit(learnable(docs), sample))
+    out = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(learnable(docs), sample), drop=["text"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -19,7 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bloom, as_bytes, bloom, materialize, mix64, text_slices
@@ -354,3 +354,21 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     out = sized.join(placed, key).select("doc_id", "n_shingles", "class_id", "component_id")
     bare = profile.where("doc_id is null or n_shingles = 0")
     return out.unionByName(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+
+
+#: Ids that are sent to every executor rather than joined, at most (8 MB).
+MOST_SENT = 1 << 20
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those rows of docs (with all their columns) whose id is their component's, one for each id, and rows without an id."""
+    found = materialize(ngram_jaccard_join(docs, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "components")
+    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("top"), F.count("*").alias("rows"))
+    special = materialize(each.where("top <> doc_id or rows > 1").select(F.col("doc_id").alias("__id"), (F.col("top") == F.col("doc_id")).alias("__stays")), "special")
+    ids = F.broadcast(special) if special.count() <= MOST_SENT else special
+    marked = docs.join(ids, F.col(id_col).cast("long") == F.col("__id"), "left")
+    single = marked.where("__id is null").select(docs.columns)
+    repeated = docs.join(special.where("__stays"), F.col(id_col).cast("long") == F.col("__id")).withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text_col), text_col)))
+    if special.where("__stays").isEmpty():
+        return single
+    return single.unionByName(repeated.where("__n = 1").select(docs.columns))

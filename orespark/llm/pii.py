@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import as_texts, text_slices
 
@@ -287,5 +288,4 @@ def redact(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([StructField(f.name, LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
