@@ -244,13 +244,13 @@ def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
         # as if this were the first token that the two share; where it is, they can share those from here on only
         fits &= np.minimum(n[hub] - place[hub], n[other] - place[other]) >= _overlap(n[hub], n[other])
         pair = np.unique(np.stack([doc[hub][fits], doc[other][fits]]), axis=1) if fits.any() else np.zeros((2, 0), np.int64)
-        # the members of longer runs, once for each set of members
+        # the members of longer runs, once for each set of members: its first run, where they can share most
         name = np.add.reduceat(mix64(doc[at].view(np.uint64)), np.cumsum(length) - length)
         pick = np.zeros(len(start), bool)
         pick[np.unique(name, return_index=True)[1]] = True
         pick &= length > 2
         chosen = pick[run]
-        members = _rows(name[run][chosen].view(np.int64), doc[at][chosen], n[at][chosen], n[at][chosen], None)
+        members = _rows(name[run][chosen].view(np.int64), doc[at][chosen], n[at][chosen], (n[at] - place[at])[chosen], None)
         zeros = np.zeros(pair.shape[1], np.int64)
         return pa.concat_tables([_rows(zeros, pair[1], zeros, zeros, pair[0]), members])
 
