@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, mix64, text_slices
+from .common import as_texts, mix64, small_batches, text_slices
 from .lexicon import Lexicon, compile_lexicon
 
 #: Entries of the lexicon at most, and bytes of a word in it; a word must stand MIN_COUNT times in the corpus.
 MOST_ENTRIES, LONGEST, MIN_COUNT = 1 << 16, 64, 8
 #: Words that a worker holds before it passes on their counts.
-HELD = 600_000
+HELD = 400_000
 ID_BITS, ID_MASK, NEVER = 20, (1 << 20) - 1, 1 << 60
 #: White space of the word pattern (fixed values: the Unicode property).
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -262,7 +262,7 @@ def merge_many(words: list[bytes], single: np.ndarray, table: PairTable) -> tupl
 class Encoder:
     """Ids of texts. The ids of words are kept while there are at most MOST, for they come again and again."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, classes: np.ndarray):
         self.vocabulary, self.lexicon, self.classes = vocabulary, lexicon, classes
@@ -354,6 +354,7 @@ def bpe_digests(docs: DataFrame, vocabulary_file: str, *, id_col: str = "doc_id"
 
 
 def _encode(docs, vocabulary_file, id_col, text_col, entries, digests):
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(vocabulary_file)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blob = build_lexicon(docs, vocabulary, entries)

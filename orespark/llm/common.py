@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that pass to a Python worker at once: few, for texts may be long. Both sides of the pipe hold such a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
@@ -65,7 +72,7 @@ class Kept(dict):
     """Results of ``make`` by key. When there are MOST, those of the generation before go, so what comes again and again
     stays and memory is bounded."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self):
         self.old: dict = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, text_slices
+from .common import as_texts, small_batches, text_slices
 
 #: Bytes of a q-gram; edits that an item may have, as a part of its bytes; bytes of items that are searched at once.
 Q, EDITS, BLOCK_BYTES = 12, 0.06, 4 << 20
@@ -168,6 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     tables give an empty result. Other columns are not read. Items are searched in blocks of bounded size, each against all
     documents.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sc, out = docs.sparkSession.sparkContext, None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, edits int, start_char long, end_char long, similarity double"
@@ -176,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         def run(batches):
             items = Items(*sent.value)
             table = items.table()
-            for batch in text_slices(batches, limit=4 << 20):
+            for batch in text_slices(batches, limit=1 << 20):
                 whole = [folded(t) for t in as_texts(batch.column("text"))]
                 got = search(whole, items, table, rate)
                 rows = pa.array([g[0] for g in got], pa.int64())
@@ -206,13 +207,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDITS) -> DataFrame:
     """Those rows of docs (with all their columns) that hold no copy of an item, as in ``contaminated``."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
 
     def runner(sent):
         def run(batches):
             items = Items(*sent.value)
             table = items.table()
-            for batch in text_slices(batches, text_col, limit=4 << 20):
+            for batch in text_slices(batches, text_col, limit=1 << 20):
                 got = search([folded(t) for t in as_texts(batch.column(text_col))], items, table, rate)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[g[0] for g in got]] = False

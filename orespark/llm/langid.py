@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_texts, summed_arrays, text_slices
+from .common import as_texts, small_batches, summed_arrays, text_slices
 
 PLACES = 1 << 16
 UNKNOWN = "und"
@@ -123,6 +123,7 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from docs (doc_id, text, lang), all of them learnable: lang and text not null."""
+    small_batches(docs.sparkSession)
     chosen = docs.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
     languages = sorted({r.lang for r in chosen})
     if not languages:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, summed_arrays, text_slices
+from .common import as_bytes, small_batches, summed_arrays, text_slices
 
 #: Words of a block, and from one block to the next.
 BLOCK, STRIDE = 128, 64
@@ -123,6 +123,7 @@ def license_scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, phra
     an empty result. Templates and phrases are few by contract: their words are what is broadcast. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     vocabulary = sorted({w for x in (*templates, *phrases) for w in words_of(x.encode())})
 
     def count(batches):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, as_bytes, bloom, materialize, mix64, text_slices
+from .common import Bloom, as_bytes, bloom, materialize, mix64, small_batches, text_slices
 from .graph import components
 from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 
@@ -30,7 +30,7 @@ from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 #: than MOST_FREQUENT tokens reach it, it is doubled until they don't: the filter that is sent out keeps its size.
 FREQUENT, VERY, MOST_FREQUENT = 32, 16, 1 << 21
 #: Tokens that a worker gathers before it passes them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Sub-classes of frequent tokens, as a part of a set's size; sets under SMALL tokens index single ones.
 SPREAD, SMALL = 0.1, 16
 #: Smallest size of each band.
@@ -307,6 +307,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     ``frequent`` sets which tokens count as frequent; results don't depend on it.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialize(profiles(docs), "profiles")
     sized = profile.where("doc_id is not null and n_shingles > 0")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_texts, text_slices
+from .common import as_texts, small_batches, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -174,6 +174,7 @@ class Field:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn a field from a bounded sample of docs (doc_id, text); without examples only the patterns' spans remain."""
+    small_batches(docs.sparkSession)
     ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     sent = docs.sparkSession.sparkContext.broadcast(sorted(set(ids)))
 

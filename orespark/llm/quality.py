@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, summed_arrays, text_slices
+from .common import as_bytes, mix64, small_batches, summed_arrays, text_slices
 from .shingles import WordHashes, windows
 
 PLACES = 1 << 16
@@ -90,6 +90,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
     A null or empty text has no words and fails. Without trusted rows every score is 0. Repeated rows stay, and so do null
     ids, which are never trusted. An empty table gives an empty result. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, trusted))
 

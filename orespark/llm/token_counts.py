@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, text_slices
+from .common import as_texts, small_batches, text_slices
 from .piece_automaton import SPACE, Counter
 
 #: Characters of a chunk.
@@ -33,6 +33,7 @@ def token_counts(docs: DataFrame, model_file: str, *, limit: int = 4096, id_col:
     repeated rows and null ids stay as they are, and an empty table gives an empty result. Other columns are not read.
     The transducer's states are made in the workers, and kept by a worker for its later tasks.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast({"score": piece_scores(model_file)})
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
