@@ -11,6 +11,7 @@ import heapq
 import json
 from dataclasses import dataclass, field
 from itertools import chain
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .lexicon import Lexicon, compile_lexicon
 #: Entries of the lexicon at most, and bytes of a word in it; a word must stand MIN_COUNT times in the corpus.
 MOST_ENTRIES, LONGEST, MIN_COUNT = 1 << 16, 64, 8
 #: Words that a worker holds before it passes on their counts.
-HELD = 400_000
+HELD = 300_000
 ID_BITS, ID_MASK, NEVER = 20, (1 << 20) - 1, 1 << 60
 #: White space of the word pattern (fixed values: the Unicode property).
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,7 +33,7 @@ OTHER, LETTER, NUMBER, BLANK = range(4)
 #: What may follow an apostrophe as one word with it (fixed values).
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Text that is cut at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -167,18 +168,26 @@ class Words:
         self.count = np.diff(np.searchsorted(self.at, np.concatenate(([0], ends))))
         self._name(cp, size)
 
+    POWERS: ClassVar[dict] = {}
+
+    @classmethod
+    def _powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of base, and of its inverse."""
+        if base not in cls.POWERS or len(cls.POWERS[base][0]) < n:
+            both = tuple(np.full(n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+            for p in both:
+                p[0] = 1
+                np.multiply.accumulate(p, out=p)
+            cls.POWERS[base] = both
+        return tuple(p[:n] for p in cls.POWERS[base])
+
     def _name(self, cp: np.ndarray, size: np.ndarray) -> None:
         """Number the distinct words, by hashes that are then proved right."""
         n, at = len(cp), self.at
         value = mix64(cp)
         for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-            power = np.full(n, base, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
+            power, undo = self._powers(base, n)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power, dtype=np.uint64)))
-            undo = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-            undo[0] = 1
-            np.multiply.accumulate(undo, out=undo)
             key = (total[at + size] - total[at]) * undo[at] + size.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
             _, first, which = np.unique(key, return_index=True, return_inverse=True)
             same = np.repeat(at[first[which]] - at, size) + np.arange(n)

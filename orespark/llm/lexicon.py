@@ -114,6 +114,8 @@ class Lexicon:
 
     def holds(self, words: list[bytes]) -> np.ndarray:
         """Which of the words are in the lexicon, all read at once, byte by byte."""
+        if not len(self.arc_keys):
+            return np.zeros(len(words), bool)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         starts = np.cumsum(lengths) - lengths
