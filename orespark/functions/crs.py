@@ -44,8 +44,11 @@ def to_lonlat(x, y) -> tuple[Column, Column]:
     lon = (j + 2 * i) / N + LON0
     psi = 0.5 * F.log((1 + F.sin(chi)) / (C * (1 - F.sin(chi)))) / N
     lat = 2 * F.atan(F.exp(psi)) - math.pi / 2
-    for _ in range(4):
-        s = F.sin(lat)
-        here = F.log(F.tan(lat / 2 + math.pi / 4) * F.pow((1 - E * s) / (1 + E * s), F.lit(E / 2)))
-        lat = lat - (here - psi) * F.cos(lat) * (1 - E2 * s * s) / (1 - E2)
+
+    def closer(phi, _):
+        s = F.sin(phi)
+        here = F.log(F.tan(phi / 2 + math.pi / 4) * F.pow((1 - E * s) / (1 + E * s), F.lit(E / 2)))
+        return phi - (here - psi) * F.cos(phi) * (1 - E2 * s * s) / (1 - E2)
+
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(4)), lat, closer)
     return F.degrees(lon), F.degrees(lat)
