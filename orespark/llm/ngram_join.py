@@ -118,31 +118,35 @@ def _groups(n: int, band: int) -> tuple[int, int]:
     return (1, 1) if size < SMALL else (max(1, int(SPREAD * size)), 2)
 
 
-def _pairs_within(tokens: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """A signature for each two tokens of a group."""
-    order = np.lexsort((tokens, group))
+def _pairs_within(tokens: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A signature for each two tokens of a group, and the place of the later one. tokens stand in the global order."""
+    order = np.argsort(group, kind="stable")
     t, g = tokens[order], group[order]
-    out, lag = [], 1
+    out, places, lag = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 1
     while lag < len(t) and (same := g[lag:] == g[:-lag]).any():
         out.append(mix64(mix64(t[:-lag][same]) * np.uint64(3) + t[lag:][same]))
+        places.append(order[lag:][same])
         lag += 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out), np.concatenate(places)
 
 
-def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rare tokens of the prefix, in order, and the signatures of its frequent ones."""
+def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare tokens of the prefix, in order; signatures of its frequent ones; and for each of these the tokens that the set
+    can share with another if they share no rare token and this is their first signature: of the tokens before, at most one
+    of each sub-class (two would be a signature), and all from the signature's later token on."""
     n = len(tokens)
     spare = n - (PERCENT * n + 99) // 100
     rare = tokens[level == 0]
     if len(rare) > spare:
-        return rare[: spare + 1], np.zeros(0, np.uint64)
+        return rare[: spare + 1], np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rest = level > 0
     later = tokens[rest][np.lexsort((tokens[rest], level[rest]))]
-    need, own, out = spare + 1 - len(rare), int(np.searchsorted(BAND_FROM, n, side="right")) - 1, []
+    need, own, out, most = spare + 1 - len(rare), int(np.searchsorted(BAND_FROM, n, side="right")) - 1, [], []
     for band in (own, own + 1):
         m, k = _groups(n, band)
         if k == 1:
             out.append(mix64(later[:need] + np.uint64(band)))
+            most.append(len(later) - np.arange(len(later[:need])))
             continue
         group = mix64(later ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(m)
         order = np.argsort(group, kind="stable")
@@ -150,9 +154,12 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.nd
         sorted_group = group[order]
         first = np.concatenate(([True], sorted_group[1:] != sorted_group[:-1]))
         rank[order] = np.arange(len(later)) - np.maximum.accumulate(np.where(first, np.arange(len(later)), 0))
-        stop = int(np.searchsorted(np.cumsum(rank >= k - 1), need)) + 1
-        out.append(mix64(_pairs_within(later[:stop], group[:stop]) + np.uint64(band)))
-    return rare, np.concatenate(out)
+        covered = np.cumsum(rank >= k - 1)
+        stop = int(np.searchsorted(covered, need)) + 1
+        pairs, place = _pairs_within(later[:stop], group[:stop])
+        out.append(mix64(pairs + np.uint64(band)))
+        most.append(len(later) - (covered[place] - 1))
+    return rare, np.concatenate(out), np.concatenate(most)
 
 
 def _overlap(a, b):
@@ -195,13 +202,12 @@ def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
             level += very.has(every) & (level > 0)
             at = 0
             for i, s in batch:
-                rare, more = signatures(s, level[at : at + len(s)])
-                frequent = len(s) - int((level[at : at + len(s)] == 0).sum())
+                rare, more, most = signatures(s, level[at : at + len(s)])
                 at += len(s)
                 token.append(rare), doc.append(np.full(len(rare), i, np.int64)), size.append(np.full(len(rare), len(s), np.int64)), place.append(np.arange(len(rare)))
                 held += len(rare)
                 if len(more):
-                    heavy.append((more, np.full(len(more), i, np.int64), np.full(len(more), len(s), np.int64), np.full(len(more), frequent, np.int64)))
+                    heavy.append((more, np.full(len(more), i, np.int64), np.full(len(more), len(s), np.int64), most))
 
         for i, s in _distinct_sets(batches):
             batch.append((i, s))
@@ -330,7 +336,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = runs.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     pairs = pairs.join(ids.select(F.col("doc_id").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("class_id").alias("y")), "b")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # the member of a signature with the fewest rare tokens is nearest to the others
+    # the member of a signature that can share most is nearest to the others
     hubs = members.groupBy("run").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "doc", "n", "most")).alias("h"), F.count("*").alias("c")).where("c > 1").select("run", "h.doc", "h.n", "h.most")
     stars = members.alias("m").join(hubs.alias("h"), "run").where(F.col("m.doc") != F.col("h.doc")).where(_fits("m", "h")).select(F.least("m.doc", "h.doc").alias("a"), F.greatest("m.doc", "h.doc").alias("b"))
     first = materialize(pairs.unionByName(stars).where("a <> b").distinct(), "first")
