@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GridMeta
 
-#: The raster that ``orders`` stands for: 100 columns of 1 km cells.
+#: Where the raster that ``orders`` stands for lies: 100 columns of 1 km cells. Its height is that of the smaller tables; extent()
+#: has the real one.
 META = GridMeta(0.0, 150000.0, 1000.0, 1000.0, 100, 150)
 
 
@@ -22,6 +25,12 @@ def cells(spark, d) -> DataFrame:
 CELLS = """cells AS (SELECT 'tmi' AS band, (o_orderkey // 100)::INT AS "row", (o_orderkey % 100)::INT AS col, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value FROM orders)"""
 
 
+def extent(cells: DataFrame) -> GridMeta:
+    """META as wide and high as the cells reach."""
+    last = cells.agg(F.max("row"), F.max("col")).first()
+    return replace(META, height=0 if last[0] is None else last[0] + 1, width=0 if last[1] is None else last[1] + 1)
+
+
 def two_bands(spark, d) -> DataFrame:
     return cells(spark, d).unionByName(table(spark, d, "orders").selectExpr("'rad_k' AS band", "int(o_orderkey div 100) AS row", "int(o_orderkey % 100) AS col", "CAST(o_custkey AS DOUBLE) AS value"))
 

@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..functions import crs
 from ..operators import dataset, explain, features, grid, metrics, models, potential, spatial
 from ..sources import files, sites
-from .carriers import BANDS, CELLS, LONLAT, MATRIX, META, POINTS, SAMPLES, SCORED, cells, embedded, lonlat, matrix, points, samples, scored, table, two_bands
+from .carriers import BANDS, CELLS, LONLAT, MATRIX, META, POINTS, SAMPLES, SCORED, cells, embedded, extent, lonlat, matrix, points, samples, scored, table, two_bands
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -350,6 +350,15 @@ def vertical_derivatives_fft(spark, d):
     return v.select("row", "col", (F.round("fvd", 4) + 0.0).alias("fvd"), (F.round("svd", 6) + 0.0).alias("svd"))
 
 
+@query()
+def vertical_derivatives_raster(spark, d):
+    """As vertical_derivatives_fft, over the whole raster."""
+    c = cells(spark, d)
+    at = extent(c)
+    v = potential.vertical_derivatives(c, at.height, at.width, 50.0, {"fvd": 1, "svd": 2})
+    return v.select("row", "col", (F.round("fvd", 4) + 0.0).alias("fvd"), (F.round("svd", 6) + 0.0).alias("svd"))
+
+
 def _edges(value, alias):
     return f"""lag({value}) OVER r AS l{alias}, lead({value}) OVER r AS e{alias}, lag({value}) OVER c AS u{alias}, lead({value}) OVER c AS b{alias}"""
 
@@ -374,6 +383,15 @@ def all_derivatives(spark, d):
     return a.select("row", "col", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("thg", 5), ("as", 5), ("tdr", 6), ("thdr", 6))])
 
 
+@query()
+def all_derivatives_raster(spark, d):
+    """As all_derivatives, over the whole raster."""
+    c = cells(spark, d)
+    at = extent(c)
+    a = potential.all_derivatives(c, at.height, at.width, 50.0).where("value IS NOT NULL")
+    return a.select("row", "col", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("thg", 5), ("as", 5), ("tdr", 6), ("thdr", 6))])
+
+
 # Folds and oversampling
 
 
