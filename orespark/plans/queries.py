@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BBOX, ENVELOPE
+from ..config import BBOX, ENVELOPE, FOLDS
 from ..functions import columns as C
 from ..functions import crs
 from ..operators import dataset, explain, features, grid, metrics, models, potential, spatial
@@ -621,7 +621,7 @@ def rf_scores(spark, d):
 
 @query()
 def gbt_scores(spark, d):
-    return models.out_of_fold(embedded(spark, d), "gbt", 2, maxIter=5, maxDepth=3)
+    return models.out_of_fold(embedded(spark, d), "gbt", FOLDS, maxIter=5, maxDepth=3)
 
 
 @query()

@@ -58,3 +58,9 @@ def test_derivatives_of_the_whole_raster(spark):
     tdr = np.where(has, np.arctan2(fvd, thg + 1e-10), np.nan)
     for name, want in (("thg", thg), ("as", np.sqrt(thg**2 + fvd**2 + 1e-10)), ("tdr", tdr), ("thdr", total(tdr))):
         assert np.allclose(got(rows, name, grid.shape)[has], want[has], atol=1e-4), name
+
+
+def test_every_row_is_scored(spark):
+    scores = plans.QUERIES["gbt_scores"](spark, SMALL).select("row_id", "fold").collect()
+    assert sorted(r.row_id for r in scores) == sorted(pq.read_table(f"{SMALL}/embeddings.parquet")["vec_id"].to_pylist())
+    assert {r.fold for r in scores} == set(range(5))
