@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BBOX, ENVELOPE, FOLDS
+from ..config import BBOX, ENVELOPE, FOLDS, TRIALS
 from ..functions import columns as C
 from ..functions import crs
 from ..operators import dataset, explain, features, grid, metrics, models, potential, spatial
@@ -631,7 +631,7 @@ def rf_importance(spark, d):
 
 @query()
 def hpo_trials(spark, d):
-    return models.search(embedded(spark, d), "rf", 2, 3, {"numTrees": ("int", 5, 15), "maxDepth": ("int", 2, 4), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ["sqrt", "0.3"]}, start=2)
+    return models.search(embedded(spark, d), "rf", FOLDS, TRIALS)
 
 
 @query()

@@ -64,3 +64,24 @@ def test_every_row_is_scored(spark):
     scores = plans.QUERIES["gbt_scores"](spark, SMALL).select("row_id", "fold").collect()
     assert sorted(r.row_id for r in scores) == sorted(pq.read_table(f"{SMALL}/embeddings.parquet")["vec_id"].to_pylist())
     assert {r.fold for r in scores} == set(range(5))
+
+
+def test_the_search_has_its_whole_budget(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from orespark.config import FOLDS, TRIALS
+
+    seen = []
+
+    def fake(df, kind, folds, **params):
+        seen.append((folds, params))
+        return params["numTrees"]
+
+    monkeypatch.setattr(plans.models, "out_of_fold", fake)
+    monkeypatch.setattr(plans.models, "fold_metrics", lambda scored: scored)
+    monkeypatch.setattr(plans.models, "summary", lambda trees: SimpleNamespace(first=lambda: SimpleNamespace(roc_auc_mean=trees / 800)))
+    assert plans.QUERIES["hpo_trials"](spark, SMALL).count() == TRIALS == len(seen)
+    for folds, params in seen:
+        assert folds == FOLDS and params.keys() == plans.models.FOREST_SPACE.keys()
+        assert 100 <= params["numTrees"] <= 800 and 3 <= params["maxDepth"] <= 30 and 1 <= params["minInstancesPerNode"] <= 20
+    assert max(p["maxDepth"] for _, p in seen) > 4
