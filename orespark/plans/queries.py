@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -318,6 +319,16 @@ def raster_warp_bilinear(spark, d):
     return grid.warp_bilinear(cells(spark, d), META, t).withColumn("value", F.round("value", 4))
 
 
+@query()
+def raster_warp_whole(spark, d):
+    """As raster_warp_bilinear, onto target cells over the whole raster."""
+    c = cells(spark, d)
+    at = extent(c)
+    across, down = math.ceil(at.width * at.dx / 1500), math.ceil(at.height * at.dy / 1300)
+    t = spark.range(across * down).selectExpr("id AS cell_id", f"300 + (id % {across}) * 1500D AS x", f"149600 - (id div {across}) * 1300D AS y")
+    return grid.warp_bilinear(c, at, t).withColumn("value", F.round("value", 4))
+
+
 _GRAD = f"""{CELLS}, v AS (SELECT *, coalesce(value, 0) AS f FROM cells),
 n AS (SELECT "row", col, value, f, lag(f) OVER r AS l, lead(f) OVER r AS e, lag(f) OVER c AS u, lead(f) OVER c AS b FROM v WINDOW r AS (PARTITION BY "row" ORDER BY col), c AS (PARTITION BY col ORDER BY "row")),
 g AS (SELECT "row", col, value, CASE WHEN value IS NULL THEN NULL WHEN l IS NULL AND e IS NULL THEN 0 WHEN l IS NULL THEN (e - f) / 50 WHEN e IS NULL THEN (f - l) / 50 ELSE (e - l) / 100 END AS gx, CASE WHEN value IS NULL THEN NULL WHEN u IS NULL AND b IS NULL THEN 0 WHEN u IS NULL THEN (b - f) / 50 WHEN b IS NULL THEN (f - u) / 50 ELSE (b - u) / 100 END AS gy FROM n)"""
@@ -639,8 +650,9 @@ def grid_scoring(spark, d):
     """Every cell of the study grid at 1 km, with the features that a model was trained on, scored and summed up."""
     train = feature_matrix(spark, d).select(F.col("point_id").alias("row_id"), F.array(F.coalesce("mag_tmi", F.lit(0.0)), F.coalesce("rad_k", F.lit(0.0))).alias("features"), (F.col("point_id") % 7 == 0).cast("int").alias("label"))
     model = models.fit(train, "rf", numTrees=10, maxDepth=4)
-    target = grid.build_grid(spark, META)
-    sampled = grid.sample_wide(target.drop("row", "col"), two_bands(spark, d), META, "cell_id", ["tmi", "rad_k"])
+    bands = two_bands(spark, d)
+    target = grid.build_grid(spark, extent(bands))
+    sampled = grid.sample_wide(target.drop("row", "col"), bands, META, "cell_id", ["tmi", "rad_k"])
     cells_ = sampled.select("cell_id", "x", "y", F.array(F.coalesce("tmi", F.lit(0.0)), F.coalesce("rad_k", F.lit(0.0))).alias("features"))
     return models.score(model, cells_, ["cell_id", "x", "y"]).withColumn("class", C.legend_class("score"))
 

@@ -85,3 +85,23 @@ def test_the_search_has_its_whole_budget(spark, monkeypatch):
         assert folds == FOLDS and params.keys() == plans.models.FOREST_SPACE.keys()
         assert 100 <= params["numTrees"] <= 800 and 3 <= params["maxDepth"] <= 30 and 1 <= params["minInstancesPerNode"] <= 20
     assert max(p["maxDepth"] for _, p in seen) > 4
+
+
+def test_the_whole_raster_is_warped_and_scored(spark):
+    grid = raster("/root/testdata/sf0.1")
+    across, down = 67, -(-grid.shape[0] * 1000 // 1300)
+    want = {}
+    for i in range(across * down):
+        fr, fc = (150000 - (149600 - i // across * 1300)) / 1000 - 0.5, (300 + i % across * 1500) / 1000 - 0.5
+        r, c = int(np.floor(fr)), int(np.floor(fc))
+        four = [(r + a, c + b, (fr - r if a else 1 - (fr - r)) * (fc - c if b else 1 - (fc - c))) for a in (0, 1) for b in (0, 1)]
+        four = [(grid[p, q], w) for p, q, w in four if w > 1e-9 and 0 <= p < grid.shape[0] and 0 <= q < grid.shape[1]]
+        if four:
+            seen = [(v, w) for v, w in four if not np.isnan(v)]
+            want[i] = sum(v * w for v, w in seen) / sum(w for _, w in seen) if seen else None
+    rows = {r.cell_id: r.value for r in plans.QUERIES["raster_warp_whole"](spark, "/root/testdata/sf0.1").collect()}
+    assert rows.keys() == want.keys()
+    for k, v in want.items():
+        assert (rows[k] is None) == (v is None) and (v is None or abs(rows[k] - v) < 1e-3), k
+    scored = plans.QUERIES["grid_scoring"](spark, "/root/testdata/sf0.1").select("cell_id", "score").collect()
+    assert sorted(r.cell_id for r in scored) == list(range(grid.size)) and all(r.score is not None for r in scored)
