@@ -2,7 +2,7 @@
 
 Features are 1- to 3-grams of lower-case letters, everything else counting as a space, hashed to 2^16 places. Document
 frequencies are counted over all learnable documents; the weights are learned by follow-the-regularised-leader (proximal,
-with elastic net) from a bounded sample of labelled ones, and a temperature is fitted on a part of the sample kept apart.
+with elastic net) from a bounded sample of labelled ones, which has some of every language, and a temperature is fitted on a part of the sample kept apart.
 A text's score is linear in its relative n-gram frequencies, so whole texts of any length are read in one pass.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,9 +20,9 @@ from .common import as_texts, small_batches, summed_arrays, text_slices
 
 PLACES = 1 << 16
 UNKNOWN = "und"
-#: Labelled documents that the weights are learned from at most (the bound of the training sample), and of these the part
-#: for the temperature.
-SAMPLE, APART = 3000, 5
+#: Labelled documents that the weights are learned from at most (the bound of the training sample), besides as many of each
+#: language as LEAST if the sample has fewer; and the part for the temperature.
+SAMPLE, LEAST, APART = 3000, 20, 5
 #: Learning rate and its offset, L1, L2, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-3, 1e-4, 4
 
@@ -124,7 +124,10 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from docs (doc_id, text, lang), all of them learnable: lang and text not null."""
     small_batches(docs.sparkSession)
-    chosen = docs.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
+    named = docs.select("doc_id", "lang")
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen += named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LEAST).select("doc_id", "lang").collect()
     languages = sorted({r.lang for r in chosen})
     if not languages:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
@@ -160,8 +163,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         places, counts = np.frombuffer(r.places, np.int32), np.frombuffer(r.counts, np.int32)
         if len(places) and r.lang in languages:
             examples.append((places, 30.0 * counts / counts.sum() * idf[places], languages.index(r.lang)))
-    learn = [e for i, e in enumerate(examples) if i % APART]
-    apart = [e for i, e in enumerate(examples) if i % APART == 0]
+    heads = {e[2]: i for i, e in reversed(list(enumerate(examples)))}  # each language is learned from one at least
+    learn = [e for i, e in enumerate(examples) if i % APART or heads[e[2]] == i]
+    apart = [e for i, e in enumerate(examples) if i % APART == 0 and heads[e[2]] != i]
     weights, bias = follow_leader(learn or examples, len(languages))
     logits = np.array([bias + x @ weights[places] for places, x, _ in apart]) if apart else np.zeros((0, len(languages)))
     labels = np.array([e[2] for e in apart], np.int64)

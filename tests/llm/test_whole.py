@@ -1,0 +1,11 @@
+"""Bounded samples that lose nothing but training rows."""
+
+from orespark.llm import langid
+
+
+def test_a_rare_language_is_learned(spark):
+    en, el = "the river runs past the old mill and the green hill", "το ποτάμι περνά δίπλα από τον παλιό μύλο και τον λόφο"
+    df = spark.createDataFrame([(i, en, "en") for i in range(400)] + [(i, el, "el") for i in range(400, 404)] + [(i, el, None) for i in range(404, 408)], "doc_id long, text string, lang string")
+    assert langid.fit(langid.learnable(df), 20).languages == ["el", "en"]
+    told = {r.doc_id: r.lang_pred for r in langid.language_id(df, sample=20).collect()}
+    assert all(told[i] == ("en" if i < 400 else "el") for i in range(408))
