@@ -1,7 +1,6 @@
 """Quality rules and a hashed n-gram log-likelihood ratio between trusted texts and the whole corpus.
 
-Both multinomials are over hashed byte trigrams. The corpus' counts cover all rows. The target's cover the trusted rows of a
-bounded sample. A document's score is the sum of log ratios over its trigrams, divided by their number and a constant more,
+Both multinomials are over hashed byte trigrams. The corpus' counts cover all rows, the target's all trusted rows. A document's score is the sum of log ratios over its trigrams, divided by their number and a constant more,
 which pulls very short texts towards 0; documents under a fixed threshold are not kept.
 """
 
@@ -12,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, small_batches, summed_arrays, text_slices
+from .common import Bloom, as_bytes, bloom, mix64, small_batches, summed_arrays, text_slices
 from .shingles import WordHashes, windows
 
 PLACES = 1 << 16
-#: Trusted rows at most (the bound of the sample); added to each count; added to a text's number of trigrams; nats a trigram
-#: under which a text goes.
-TRUSTED, SMOOTH, SHRINK, THRESHOLD = 20_000, 0.5, 50, -1.0
+#: Added to each count; added to a text's number of trigrams; nats a trigram under which a text goes.
+SMOOTH, SHRINK, THRESHOLD = 0.5, 50, -1.0
 #: Words of a window that may not repeat; fewest words; most repeated words, in percent.
 WINDOW, FEWEST, REPEATED = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
@@ -38,25 +36,32 @@ def trigram_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return places, inside, ends
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p(place | trusted) - log p(place | corpus). docs: doc_id, text; labels: doc_id, quality, toxic."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    ids = np.array(sorted(r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).collect()), np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(ids)
+    # only texts that a filter of fixed size lets through are joined; raw and target are counted apart
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(good, "doc_id", good.count()).parts())
 
-    def count(batches):
-        chosen, raw, target = sent.value, np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int64)
-        for batch in text_slices(batches):
-            texts = as_bytes(batch.column("text"))
-            places, inside, _ = trigram_places(texts)
-            raw += np.bincount(places[inside], minlength=PLACES)
-            good = np.isin(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), chosen)
-            good = np.repeat(good, np.fromiter(map(len, texts), np.int64, len(texts)))
-            target += np.bincount(places[inside & good], minlength=PLACES)
-        yield "raw", raw
-        yield "target", target
-
-    got = summed_arrays(docs, count, {"raw": PLACES, "target": PLACES})
+    def possible(batches):
+        wanted = Bloom(*sent.value)
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.has(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), pa.bool_()))
+            if batch.num_rows:
+                yield batch
+
+    trusted = docs.where("doc_id is not null").mapInArrow(possible, docs.schema).join(good, "doc_id", "left_semi")
+
+    def count(name):
+        def run(batches):
+            counts = np.zeros(PLACES, np.int64)
+            for batch in text_slices(batches):
+                places, inside, _ = trigram_places(as_bytes(batch.column("text")))
+                counts += np.bincount(places[inside], minlength=PLACES)
+            yield name, counts
+
+        return run
+
+    got = {k: summed_arrays(df.select("text"), count(k), {k: PLACES})[k] for k, df in (("raw", docs), ("target", trusted))}
     log = {k: np.log(v + SMOOTH) - np.log(v.sum() + SMOOTH * PLACES) for k, v in got.items()}
     return log["target"] - log["raw"] if got["target"].any() else np.zeros(PLACES)
 
@@ -83,7 +88,7 @@ def repeated_words(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     return covered[stops] - covered[stops - counts]
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs
     (doc_id, text).
 
@@ -92,7 +97,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, trusted))
+    sent = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels))
 
     def run(batches):
         ratio, hashes = sent.value, WordHashes()
