@@ -33,7 +33,8 @@ DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]+")
 NOT_DIGIT = re.compile("[^0-9]+")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
-#: Documents that the weights are learned from at most, and tokens of each (the bounds of the training sample).
+#: Documents that the field is learned from at most, and tokens of each that the logistic regression reads (the bounds of the
+#: training sample).
 SAMPLE, SAMPLE_TOKENS = 4000, 200
 #: Rounds of messages, damping, and the belief from which a token is added.
 ROUNDS, DAMPING, SURE = 12, 0.3, 0.9
@@ -172,6 +173,20 @@ class Field:
         return out
 
 
+def tallies(t: Tokens, label: np.ndarray) -> tuple[bytes, int, int]:
+    """Counts over all tokens of a text: labels of neighbours, and how often a key's next mention has its label or another."""
+    pairs, equal, unequal = np.zeros((NONE + 1, NONE + 1), np.int64), 0, 0
+    at = np.flatnonzero(t.chained)
+    np.add.at(pairs, (label[at], label[at + 1]), 1)
+    last: dict[str, int] = {}
+    for k, l in zip(t.keys, label.tolist()):
+        if k:
+            if k in last:
+                equal, unequal = equal + (last[k] == l), unequal + (last[k] != l)
+            last[k] = l
+    return pairs.tobytes(), equal, unequal
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn a field from a bounded sample of docs (doc_id, text); without examples only the patterns' spans remain."""
     small_batches(docs.sparkSession)
@@ -185,13 +200,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             rows = []
             for i, text in zip(batch.column("doc_id").to_pylist(), as_texts(batch.column("text"))):
                 if t := nodes(text, fixed_spans(text)):
-                    n = SAMPLE_TOKENS
-                    rows.append((i, t.features[:n].tobytes(), np.where(t.known < 0, NONE, t.known)[:n].astype(np.int32).tobytes(), np.append(t.chained, False)[:n].tobytes(), t.keys[:n]))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "features", "labels", "chained", "keys"])
+                    n, label = SAMPLE_TOKENS, np.where(t.known < 0, NONE, t.known)
+                    rows.append((i, t.features[:n].tobytes(), label[:n].astype(np.int32).tobytes(), *tallies(t, label)))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "features", "labels", "pairs", "equal", "unequal"])
 
-    rows = docs.where(F.col("doc_id").isin(sent.value)).mapInArrow(examples, "id long, features binary, labels binary, chained binary, keys array<string>").collect()
+    rows = docs.where(F.col("doc_id").isin(sent.value)).mapInArrow(examples, "id long, features binary, labels binary, pairs binary, equal long, unequal long").collect()
     rows.sort(key=lambda r: (r.id, r.features))
     labels = NONE + 1
     weights, pairs, equal, unequal = np.zeros((FEATURES, labels)), np.ones((labels, labels)), 1.0, 1.0
@@ -203,15 +218,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             e = np.exp(x @ weights - (x @ weights).max(1, keepdims=True))
             weights -= 2.0 * (x.T @ (e / e.sum(1, keepdims=True) - onehot) / len(x) + 1e-4 * weights)
         for r in rows:
-            label, chained = np.frombuffer(r.labels, np.int32), np.frombuffer(r.chained, bool)
-            at = np.flatnonzero(chained[:-1])
-            np.add.at(pairs, (label[at], label[at + 1]), 1)
-            last: dict[str, int] = {}
-            for k, l in zip(r["keys"], label.tolist()):
-                if k:
-                    if k in last:
-                        equal, unequal = equal + (last[k] == l), unequal + (last[k] != l)
-                    last[k] = l
+            pairs += np.frombuffer(r.pairs, np.int64).reshape(labels, labels)
+            equal, unequal = equal + r.equal, unequal + r.unequal
     share = pairs / pairs.sum()
     transitions = np.log(share) - np.log(share.sum(1, keepdims=True)) - np.log(share.sum(0, keepdims=True))
     return Field(weights, np.clip(transitions, -2, 2), float(np.log(equal / unequal) + np.log(labels - 1)))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from orespark.llm import langid, quality
+from orespark.llm import langid, pii, quality
 
 
 def test_a_rare_language_is_learned(spark):
@@ -26,3 +26,9 @@ def test_all_trusted_rows_count(spark):
             np.add.at(counts, places[inside], 1)
     log = [np.log(c + quality.SMOOTH) - np.log(c.sum() + quality.SMOOTH * quality.PLACES) for c in (target, raw)]
     assert np.allclose(quality.log_ratios(docs, labels), log[0] - log[1], atol=1e-12)
+
+
+def test_late_mentions_train_the_field(spark):
+    late = " ".join(["7"] * pii.SAMPLE_TOKENS + ["ann@example.com"] * 50)
+    field = pii.train(spark.createDataFrame([(1, late)], "doc_id long, text string"))
+    assert np.isclose(field.skip, np.log(50) + np.log(pii.NONE))
