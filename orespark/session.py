@@ -1,5 +1,10 @@
 """A Spark session with this package's defaults; a cluster's own settings win."""
 
+from __future__ import annotations
+
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -12,3 +17,15 @@ DEFAULTS = {
 
 def session(app: str = "orespark", **more: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=DEFAULTS | more).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it isn't set, a session that is one process
+    gets a temporary folder; on a cluster that is an error, for nobody could read what another machine wrote there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="orespark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
