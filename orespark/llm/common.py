@@ -2,46 +2,128 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-#: Text that one step of a Python worker holds at once.
-SLICE_BYTES = 2 << 20
+from ..session import shared_dir
+
+#: Text that one step of a Python worker holds at once, and bytes of a batch that passes to it.
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+#: Rows of a narrow table that go to a file, where their number is known.
+ROWS_A_FILE = 250_000
+#: Rows of one key that a task gets before the key is spread over several, and keys that can be spread at once: a key with
+#: more than 1 / MOST_HEAVY of all rows is one of MOST_HEAVY at most, so the list of them has a fixed size.
+SPREAD_ROWS, MOST_HEAVY = 1000, 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="orespark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: Paths that materialize() has written since the innermost scratch() began.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
 
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing."""
+    ``rows``, if it is known, sets how many files there are at most. The table stays until its folder, or that of a scratch()
+    around the call, is deleted.
+    """
     path = f"{shared_dir(df.sparkSession)}/orespark/{uuid.uuid4().hex}/{name}"
+    if (made := _written.get()) is not None:
+        made.append(path.rpartition("/")[0])
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes inside are deleted at the end. What is to outlast it must be written outside."""
+    token = _written.set(made := [])
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+class Held:
+    """Frames that an operator keeps on the executors' disks while it works, and lets go at its end. Lineage stays, so what is
+    lost with an executor is made again."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for df in self.frames:
+            df.unpersist()
+
+
+def heavy_keys(counts: DataFrame, on: list[str], rows: str, total: int) -> DataFrame | None:
+    """The keys of counts (on, rows) that stand in so many of all ``total`` rows that they are spread, with the number of parts;
+    None if there is no such key. counts is read twice: a table or a held frame."""
+    limit = max(SPREAD_ROWS, total // MOST_HEAVY)
+    heavy = counts.where(F.col(rows) > limit).select(*on, F.ceil(F.col(rows) / limit).cast("int").alias("_parts"))
+    return None if heavy.isEmpty() else heavy
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame | None, by: str) -> DataFrame:
+    """left joined with right on equal keys, with the heavy ones of left's rows dealt out by the column ``by`` and right's rows
+    sent to all their parts."""
+    if heavy is None:
+        return left.join(right, on)
+    parts = F.col("_parts")
+    dealt = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), parts).cast("int"), F.lit(0))).drop("_parts")
+    copies = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def fresh(name: str, *taken: Iterable[str]) -> str:
+    """A column name, beginning with this one, that no list holds, whatever the case."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def integer_id(docs: DataFrame, id_col: str) -> None:
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold integers, it holds {docs.schema[id_col].dataType.simpleString()}")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that pass to a Python worker at once: few, for texts may be long. Both sides of the pipe hold such a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    """Bounds what passes to a Python worker at once, by rows and by bytes, for texts may be long; both sides of the pipe hold
+    such a batch. The settings are the session's and are read when a result is, so they stay; smaller ones are left alone."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -91,6 +173,25 @@ class Kept(dict):
         return value
 
 
+class Seen:
+    """Tells keys that are new from those met before. Of the latter the last MOST to 2 * MOST are known; an older one counts as
+    new again."""
+
+    MOST = 100_000
+
+    def __init__(self):
+        self.now: set = set()
+        self.before: set = set()
+
+    def is_new(self, key) -> bool:
+        if key in self.now:
+            return False
+        if len(self.now) >= self.MOST:
+            self.now, self.before = set(), self.now
+        self.now.add(key)
+        return key not in self.before
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = x.astype(np.uint64)

@@ -8,8 +8,11 @@ e + 1, and pairs of its tokens are indexed instead of single tokens. The argumen
 classes may come from a Bloom filter, and for each band of sizes (powers of 5/4) apart, so the number of sub-classes may
 follow the size: partners stand in the same or the next band.
 
-Copies are one class. Candidates of a signature are not expanded into pairs: a first round verifies each member against
-one hub, and a second one only members of different components.
+Nodes are different sets, named by 64 bits of their digest, so copies are one node whatever their ids. Candidates of a
+signature are not expanded into pairs: a first round verifies each member against one hub, and a second one only members of
+different components. A signature that too many such members share goes a round deeper: its members are indexed anew, in the
+order of how many of just them hold a token, so that what they all have in common comes last. Keys that many rows share
+(copies of one text, members of one signature, links of one hub) are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, as_bytes, bloom, materialize, mix64, small_batches, text_slices
+from .common import SPREAD_ROWS, Bloom, Held, Seen, as_bytes, bloom, fresh, heavy_keys, integer_id, materialize, mix64, salted_join, small_batches, text_slices
 from .graph import components
 from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 
 #: Texts that share a token from which on it counts as frequent, and as very frequent (a later place in the order). If more
 #: than MOST_FREQUENT tokens reach it, it is doubled until they don't: the filter that is sent out keeps its size.
 FREQUENT, VERY, MOST_FREQUENT = 32, 16, 1 << 21
+#: Pairs of members of different components that a signature may have before its members are indexed anew.
+WORK = 1 << 16
 #: Tokens that a worker gathers before it passes them on.
 FLUSH = 1 << 20
 #: Sub-classes of frequent tokens, as a part of a set's size; sets under SMALL tokens index single ones.
@@ -38,41 +44,41 @@ BANDS = np.array([-(-(5**j) // 4**j) for j in range(120)], dtype=object)
 BAND_FROM = np.array([min(int(b), 1 << 62) for b in BANDS], np.int64)
 
 
-def _digest(tokens: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit digest of the set, null if it is empty."""
+def token_sets(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, n_shingles, the two halves of a 128-bit digest of the set (h1, h2; null if it is
+    empty), and the set, as tokens. That is null in rows without an id, and where the partition had the same set before."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, seen, row = WordHashes(), Seen(), TaskContext.get().partitionId() << 36
         for batch in text_slices(batches):
             sets = shingle_sets(as_bytes(batch.column("text")), hashes)
-            keys = [_digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "n_shingles", "h1", "h2"])
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            halves = [np.frombuffer(d, np.int64).tolist() if d else (None, None) for d in digests]
+            named = batch.column("doc_id").is_valid().to_pylist()
+            tokens = [s.tobytes() if ok and d and seen.is_new(d) else None for s, d, ok in zip(sets, digests, named)]
+            columns = [
+                pa.array(range(row, row + len(sets)), pa.int64()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array(tokens, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_shingles", "h1", "h2", "tokens"])
+            row += len(sets)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, h1 long, h2 long, tokens binary")
 
 
-def _distinct_sets(batches, want=None):
-    """(doc_id, set) of each text that differs from those before it in the partition."""
-    hashes, seen = WordHashes(), set()
-    for batch in text_slices(batches):
-        ids = batch.column("doc_id").to_pylist()
-        for i, s in zip(ids, shingle_sets(as_bytes(batch.column("text")), hashes)):
-            if i is not None and len(s) and (k := _digest(s)) not in seen:
-                seen.add(k)
-                yield i, s
+def _sets(batches):
+    """(node, set) of each row of (h1, tokens)."""
+    for batch in batches:
+        for i, x in zip(batch.column("h1").to_pylist(), batch.column("tokens")):
+            yield i, np.frombuffer(x.as_buffer(), np.uint64)
 
 
 def _blobs(schema: list[str], rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=schema)
 
 
-def frequent_tokens(docs: DataFrame, total: int, frequent: int, buckets: int) -> tuple[Bloom, Bloom, int]:
-    """Filters of the frequent and of the very frequent tokens, and the bits of a token that count for them."""
+def frequent_tokens(sets: DataFrame, total: int, frequent: int, buckets: int, hold: Held, most: int) -> tuple[Bloom, Bloom, int]:
+    """Filters of the frequent and of the very frequent tokens, and the bits of a token that count for them. sets: h1, tokens."""
     bits = min(60, max(32, int(total).bit_length() + 4))
     drop = np.uint64(64 - bits)
 
@@ -84,7 +90,7 @@ def frequent_tokens(docs: DataFrame, total: int, frequent: int, buckets: int) ->
             rows = [[b, pack(v, c)] for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
             return _blobs(["bucket", "part"], rows)
 
-        for _, tokens in _distinct_sets(batches):
+        for _, tokens in _sets(batches):
             held.append(tokens)
             size += len(tokens)
             if size >= FLUSH:
@@ -103,9 +109,9 @@ def frequent_tokens(docs: DataFrame, total: int, frequent: int, buckets: int) ->
         keep = df >= frequent
         return pa.table({"token": pa.array(values[first][keep].view(np.int64), pa.int64()), "df": pa.array(df[keep].astype(np.int64), pa.int64())})
 
-    tokens = materialize(docs.mapInArrow(count, "bucket int, part binary").groupBy("bucket").applyInArrow(add, "token long, df long"), "frequent")
+    tokens = hold(sets.mapInArrow(count, "bucket int, part binary").groupBy("bucket").applyInArrow(add, "token long, df long"))
     least, by = frequent, {r.level: r["count"] for r in tokens.groupBy(F.floor(F.log2(F.col("df") / frequent)).cast("int").alias("level")).count().collect()}
-    while sum(n for level, n in by.items() if frequent << level >= least) > MOST_FREQUENT:
+    while sum(n for level, n in by.items() if frequent << level >= least) > most:
         least *= 2
     kept = sum(n for level, n in by.items() if frequent << level >= least)
     usual = tokens.where(F.col("df") >= least)
@@ -167,10 +173,10 @@ def _overlap(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: int) -> DataFrame:
-    """Rows of two kinds. With hub: a candidate pair (hub, doc). Without: doc is a member of the signature ``run``, with
-    its size n and the tokens ``most`` that it can share there."""
-    sc, drop = docs.sparkSession.sparkContext, np.uint64(64 - bits)
+def candidates(sets: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: int) -> DataFrame:
+    """Rows of two kinds. With hub: a candidate pair of nodes (hub, doc). Without: the node doc is a member of the signature
+    ``run``, with its size n and the tokens ``most`` that it can share there. sets: h1, tokens."""
+    sc, drop = sets.sparkSession.sparkContext, np.uint64(64 - bits)
     sent = sc.broadcast((usual.parts(), very.parts()))
 
     def emit(batches):
@@ -191,7 +197,7 @@ def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
             s, d, n, m = (np.concatenate(x) for x in zip(*heavy))
             order = np.argsort(s, kind="stable")
             s, d, n, m = s[order], d[order], n[order], m[order]
-            to = (mix64(s + d) % np.uint64(buckets)).astype(np.int64)
+            to = (mix64(s + d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             return _blobs(["bucket", "part"], [[-1 - b, pack(s[k], d[k], n[k], m[k])] for b in np.unique(to) for k in [to == b]])
 
         batch, batch_size = [], 0
@@ -209,7 +215,7 @@ def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
                 if len(more):
                     heavy.append((more, np.full(len(more), i, np.int64), np.full(len(more), len(s), np.int64), most))
 
-        for i, s in _distinct_sets(batches):
+        for i, s in _sets(batches):
             batch.append((i, s))
             batch_size += len(s)
             if batch_size >= FLUSH // 4:
@@ -263,7 +269,7 @@ def candidates(docs: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
     def _rows(run, doc, n, most, hub):
         return pa.table({"run": pa.array(run, pa.int64()), "doc": pa.array(doc, pa.int64()), "n": pa.array(n, pa.int64()), "most": pa.array(most, pa.int64()), "hub": pa.array(hub, pa.int64()) if hub is not None else pa.nulls(len(run), pa.int64())})
 
-    return docs.mapInArrow(emit, "bucket int, part binary").groupBy("bucket").applyInArrow(meet, "run long, doc long, n long, most long, hub long")
+    return sets.mapInArrow(emit, "bucket int, part binary").groupBy("bucket").applyInArrow(meet, "run long, doc long, n long, most long, hub long")
 
 
 def _fits(a: str, b: str):
@@ -272,19 +278,28 @@ def _fits(a: str, b: str):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(ma, mb) >= PERCENT * (na + nb))
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are linked. Only texts that a filter of fixed size lets through are sent."""
-    ends = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(ends, "d", ends.count()).parts())
+def fetch(sets: DataFrame, classes: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """node, tokens of (at least) the ``count`` nodes. Only sets that a filter of fixed size lets through leave their place."""
+    rows = nodes.join(classes.select(F.col("h1").alias("node"), "row"), "node")
+    sent = sets.sparkSession.sparkContext.broadcast(bloom(rows, "row", count).parts())
+
+    def pick(batches):
+        wanted = Bloom(*sent.value)
+        for batch in batches:
+            keep = pa.array(wanted.has(batch.column("row").to_numpy().view(np.uint64)), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("tokens")], names=["node", "tokens"]).filter(keep)
+
+    return sets.select("row", "h1", "tokens").mapInArrow(pick, "node long, tokens binary")
 
-    def sets(batches):
-        hashes, wanted = WordHashes(), Bloom(*sent.value)
-        for batch in text_slices(batches):
-            keep = wanted.has(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            batch = batch.filter(pa.array(keep))
-            if batch.num_rows:
-                found = shingle_sets(as_bytes(batch.column("text")), hashes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["d", "tokens"])
+
+def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame, hold: Held) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are linked, as a held frame. pairs is a table."""
+    total = 2 * pairs.count()
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links")), "degree", total)
+    found = fetch(sets, classes, degree, degree.count())
+
+    def heavy(end):
+        return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total)
 
     def linked(batches):
         for batch in batches:
@@ -297,70 +312,131 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= PERCENT * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.where("doc_id is not null").mapInArrow(sets, "d long, tokens binary")
-    x = pairs.join(found.select(F.col("d").alias("a"), F.col("tokens").alias("x")), "a")
-    y = x.join(found.select(F.col("d").alias("b"), F.col("tokens").alias("y")), "b")
-    return y.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    x = salted_join(pairs, found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), ["a"], heavy("a"), "b")
+    y = salted_join(x, found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), ["b"], heavy("b"), "a")
+    return hold(y.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"))
+
+
+def _mixed(postings: DataFrame) -> tuple[DataFrame, int] | None:
+    """Of the postings (run, doc, n, most, component; a table) those of runs that several components share, with the run's
+    largest component, main, how many members it has, c, and the pairs of members that are to be compared, work; and how
+    many postings there were; None if there is none."""
+    total = postings.count()
+    each = postings.groupBy("run", "component").agg(F.count("*").alias("k"))
+    runs = each.groupBy("run").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("top"), F.sum("k").alias("c"))
+    runs = materialize(runs.where("top < c").select("run", "main", "c", ((F.col("c") - F.col("top")) * F.col("c")).alias("work")), "mixed", total)
+    if runs.isEmpty():
+        return None
+    return materialize(salted_join(postings, runs, ["run"], heavy_keys(runs, ["run"], "c", total), "doc"), "postings", total), total
+
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a run's members of different components, one of them outside the largest, whose sizes allow a link. The
+    members of a large run are dealt out, and those outside the largest component are sent to all its parts."""
+    parts = F.ceil(F.col("c") / SPREAD_ROWS).cast("int")
+    all_of = mixed.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).alias("q")
+    minor = mixed.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("p")
+    pairs = minor.join(all_of, ["run", "part"]).where(F.col("p.component") != F.col("q.component"))
+    pairs = pairs.where((F.col("q.component") == F.col("q.main")) | (F.col("p.doc") < F.col("q.doc"))).where(_fits("p", "q"))
+    return pairs.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b"))
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for each row of docs.
+
+def _anew(sets: DataFrame, classes: DataFrame, members: DataFrame, hold: Held) -> DataFrame:
+    """Postings as in _mixed, by the prefixes of the members (doc, n, component; a table) in the order of how many of them hold
+    a token: a run is a token, and who holds a token alone has no posting of it."""
+
+    def spell(batches):
+        for batch in batches:
+            for i, x in zip(batch.column("node").to_pylist(), batch.column("tokens")):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                for k in range(0, len(x), FLUSH):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + FLUSH]), pa.array(np.full(len(x[k : k + FLUSH]), i, np.int64))], names=["run", "doc"])
+
+    spelt = fetch(sets, classes, members.select(F.col("doc").alias("node")), members.count()).mapInArrow(spell, "run long, doc long")
+    spelt = hold(spelt.join(members.select("doc"), "doc", "left_semi").distinct())
+    total = spelt.count()
+    held_by = materialize(spelt.groupBy("run").agg(F.count("*").alias("df")).where("df > 1"), "held_by", total)
+    met = salted_join(spelt, held_by, ["run"], heavy_keys(held_by, ["run"], "df", total), "doc")
+    order = met.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("t")).join(members, "doc")
+    n, spare = F.col("n"), F.expr(f"n - ({PERCENT} * n + 99) div 100")
+    alone = n - F.size("t")  # tokens that stand before all that are met again
+    prefix = F.slice("t", F.lit(1), F.greatest(F.lit(0), spare + 1 - alone).cast("int"))
+    out = order.select("doc", "n", "component", alone.alias("alone"), F.posexplode(prefix).alias("place", "x"))
+    return materialize(out.select(F.col("x.run").alias("run"), "doc", "n", (n - F.col("alone") - F.col("place")).alias("most"), "component"), "anew", total)
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT, work: int = WORK) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id for each row of docs, whose ids are integers.
 
     Two documents link when 100 * shared >= 80 * union of their sets of five-word shingles. class_id is the smallest
     doc_id with the same set, component_id the smallest that links reach. Null, empty and blank texts have no shingle and
     stand alone. Rows that share an id are one node, linked if any of them is; rows without an id keep null class and
     component. An empty table gives an empty result. Other columns are not read.
 
-    ``frequent`` sets which tokens count as frequent; results don't depend on it.
+    ``frequent`` and ``most_frequent`` set which tokens count as frequent, ``work`` from which size on a signature's members
+    are indexed anew; results don't depend on them.
     """
+    integer_id(docs, id_col)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = materialize(profiles(docs), "profiles")
-    sized = profile.where("doc_id is not null and n_shingles > 0")
-    total = sized.agg(F.sum("n_shingles")).first()[0]
-    if not total:
-        own = F.col("doc_id")
+    with Held() as hold:
+        every = hold(token_sets(docs))
+        seen = every.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("n_shingles"))).alias("tokens")).first()
+        profile = materialize(every.select("row", "doc_id", "n_shingles", "h1", "h2", F.col("tokens").isNotNull().alias("kept")), "profiles", seen.rows)
+        placed = _placed(every.where("tokens is not null"), profile, seen.rows, seen.tokens, hold, frequent, most_frequent, work) if seen.tokens else None
+    own = F.col("doc_id")
+    if placed is None:
         return profile.select("doc_id", "n_shingles", own.alias("class_id"), own.alias("component_id"))
-    buckets = max(32, math.ceil(total / FLUSH))
     key = ["n_shingles", "h1", "h2"]
-    classes = materialize(sized.groupBy(key).agg(F.min("doc_id").alias("class_id")), "classes")
-    named = sized.join(classes, key).select("doc_id", "class_id")
-    ids = materialize(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "ids")
-    # an id on several texts joins their classes
-    same_id = named.join(ids.withColumnRenamed("class_id", "b"), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b").distinct()
-
-    usual, very, bits = frequent_tokens(docs, total, frequent, buckets)
-    runs = materialize(candidates(docs, usual, very, bits, buckets), "runs")
-    members = runs.where("hub is null").join(ids.withColumnRenamed("doc_id", "doc"), "doc")
-    members = materialize(members.groupBy("run", F.col("class_id").alias("doc")).agg(F.max("n").alias("n"), F.max("most").alias("most")), "members")
-    pairs = runs.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    pairs = pairs.join(ids.select(F.col("doc_id").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("class_id").alias("y")), "b")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = salted_join(profile.where(has).select("row", "doc_id", *key), placed, key, heavy_keys(placed, key, "copies", seen.rows), "row")
+    bare = profile.where(~has).select("doc_id", "n_shingles", own.alias("class_id"), own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(bare)
+
+
+def _placed(sets: DataFrame, profile: DataFrame, rows: int, total: int, hold: Held, frequent: int, most_frequent: int, work: int) -> DataFrame:
+    """n_shingles, h1, h2, copies, class_id, component_id of each different set. sets: rows of token_sets with tokens."""
+    has = profile.where("doc_id is not null and n_shingles > 0")
+    classes = has.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("kept"), F.col("row"))).alias("row"), F.count("*").alias("copies"))
+    classes = materialize(classes, "classes", rows)
+    # an id on several texts joins their nodes
+    several = materialize(has.groupBy("doc_id").agg(F.min("h1").alias("b"), F.max("h1").alias("hi"), F.count("*").alias("c")).where("b <> hi").drop("hi"), "several", rows)
+    same_id = salted_join(has.select("doc_id", "row", F.col("h1").alias("a")), several, ["doc_id"], heavy_keys(several, ["doc_id"], "c", rows), "row").where("a <> b").select("a", "b").distinct()
+
+    buckets = max(32, math.ceil(total / FLUSH))
+    tokens = sets.select("h1", "tokens")
+    usual, very, bits = frequent_tokens(tokens, total, frequent, buckets, hold, most_frequent)
+    runs = hold(candidates(tokens, usual, very, bits, buckets))
+    suggested = runs.count()
+    members = materialize(runs.where("hub is null").groupBy("run", "doc").agg(F.max("n").alias("n"), F.max("most").alias("most")), "members", suggested)
     # the member of a signature that can share most is nearest to the others
-    hubs = members.groupBy("run").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "doc", "n", "most")).alias("h"), F.count("*").alias("c")).where("c > 1").select("run", "h.doc", "h.n", "h.most")
-    stars = members.alias("m").join(hubs.alias("h"), "run").where(F.col("m.doc") != F.col("h.doc")).where(_fits("m", "h")).select(F.least("m.doc", "h.doc").alias("a"), F.greatest("m.doc", "h.doc").alias("b"))
-    first = materialize(pairs.unionByName(stars).where("a <> b").distinct(), "first")
-    links = materialize(verify(docs, first).unionByName(same_id), "links")
-    found = materialize(components(links), "found")
+    hubs = members.groupBy("run").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "doc", "n", "most")).alias("h"), F.count("*").alias("c"))
+    hubs = materialize(hubs.where("c > 1").select("run", "c", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.most").alias("hub_most")), "hubs", suggested)
+    stars = salted_join(members, hubs, ["run"], heavy_keys(hubs, ["run"], "c", members.count()), "doc")
+    stars = stars.select(F.struct("doc", "n", "most").alias("m"), F.struct(F.col("hub").alias("doc"), F.col("hub_n").alias("n"), F.col("hub_most").alias("most")).alias("h"))
+    stars = stars.where("m.doc <> h.doc").where(_fits("m", "h")).select(F.least("m.doc", "h.doc").alias("a"), F.greatest("m.doc", "h.doc").alias("b"))
+    pairs = runs.where("hub is not null").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    first = materialize(pairs.unionByName(stars).where("a <> b").distinct(), "first", suggested)
+    links = verify(sets, classes, first, hold).unionByName(same_id)
+    found = components(links)
 
     # members of one signature in different components: all that is left to verify
-    placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("run")
-    placed = materialize(placed.join(mixed, "run", "left_semi"), "mixed")
-    main = placed.groupBy("run", "component").count().groupBy("run").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = placed.join(main, "run").withColumn("minor", F.col("component") != F.col("main"))
-    cross = rest.where("minor").alias("p").join(rest.alias("q"), "run").where((F.col("p.component") != F.col("q.component")) & (~F.col("q.minor") | (F.col("p.doc") < F.col("q.doc")))).where(_fits("p", "q"))
-    cross = cross.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    cross = materialize(cross, "cross")
-    if not cross.isEmpty():
-        more = materialize(verify(docs, cross), "more")
-        if not more.isEmpty():
-            found = materialize(components(links.unionByName(more)), "found")
-
-    placed = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sized.join(placed, key).select("doc_id", "n_shingles", "class_id", "component_id")
-    bare = profile.where("doc_id is null or n_shingles = 0")
-    return out.unionByName(bare.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    at = found.withColumnRenamed("node", "doc")
+    postings = members.join(at, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    if mixed := _mixed(materialize(postings, "placed", suggested)):
+        cross = _across(mixed[0].where(F.col("work") <= work))
+        crowd = materialize(mixed[0].where(F.col("work") > work).select("doc", "n", "component").distinct(), "crowd", mixed[1])
+        if not crowd.isEmpty() and (deeper := _mixed(_anew(sets, classes, crowd, hold))):
+            cross = cross.unionByName(_across(deeper[0]))
+        cross = materialize(cross.distinct().join(first, ["a", "b"], "left_anti"), "cross")
+        if not cross.isEmpty():
+            found = components(links.unionByName(verify(sets, classes, cross, hold)))
+
+    named = found.join(classes.select(F.col("h1").alias("node"), "class_id"), "node")
+    tops = materialize(named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("c")), "tops", rows)
+    tops_of = salted_join(found, tops, ["component"], heavy_keys(tops, ["component"], "c", rows), "node").select(F.col("node").alias("h1"), "component_id")
+    placed = classes.join(tops_of, "h1", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    return materialize(placed.select("n_shingles", "h1", "h2", "copies", "class_id", "component_id"), "placed", rows)
 
 
 #: Ids that are sent to every executor rather than joined, at most (8 MB).
@@ -368,14 +444,21 @@ MOST_SENT = 1 << 20
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those rows of docs (with all their columns) whose id is their component's, one for each id, and rows without an id."""
+    """Those rows of docs (with all their columns) whose id is their component's, one for each id, and rows without an id.
+
+    Of rows that share an id the one that comes first by hash of the text, then by all columns as JSON, stays. An empty table
+    gives an empty result; null, empty and blank texts are nobody's copies and stay.
+    """
     found = materialize(ngram_jaccard_join(docs, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "components")
+    own, stays = fresh("_id", docs.columns), fresh("_stays", docs.columns)
     each = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("top"), F.count("*").alias("rows"))
-    special = materialize(each.where("top <> doc_id or rows > 1").select(F.col("doc_id").alias("__id"), (F.col("top") == F.col("doc_id")).alias("__stays")), "special")
+    special = each.where("top <> doc_id or rows > 1").select(F.col("doc_id").alias(own), (F.col("top") == F.col("doc_id")).alias(stays))
+    special = materialize(special, "special", docs.count())
     ids = F.broadcast(special) if special.count() <= MOST_SENT else special
-    marked = docs.join(ids, F.col(id_col).cast("long") == F.col("__id"), "left")
-    single = marked.where("__id is null").select(docs.columns)
-    repeated = docs.join(special.where("__stays"), F.col(id_col).cast("long") == F.col("__id")).withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text_col), text_col)))
-    if special.where("__stays").isEmpty():
+    same = F.col(id_col).cast("long") == F.col(own)
+    single = docs.join(ids, same, "left").where(F.col(own).isNull()).select(docs.columns)
+    if special.where(stays).isEmpty():
         return single
-    return single.unionByName(repeated.where("__n = 1").select(docs.columns))
+    whole = F.struct(*docs.columns)
+    repeated = docs.join(special.where(stays), same).groupBy(own).agg(F.min_by(whole, F.struct(F.xxhash64(text_col), F.to_json(whole))).alias(stays))
+    return single.unionByName(repeated.select(f"{stays}.*"))
