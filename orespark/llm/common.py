@@ -85,6 +85,12 @@ class Held:
             df.unpersist()
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of few files, made by as many tasks as it has partitions."""
+    with Held() as hold:
+        return materialize(hold(df), name, df.count())
+
+
 def heavy_keys(counts: DataFrame, on: list[str], rows: str, total: int) -> DataFrame | None:
     """The keys of counts (on, rows) that stand in so many of all ``total`` rows that they are spread, with the number of parts;
     None if there is no such key. counts is read twice: a table or a held frame."""

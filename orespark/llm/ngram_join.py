@@ -8,7 +8,7 @@ e + 1, and pairs of its tokens are indexed instead of single tokens. The argumen
 classes may come from a Bloom filter, and for each band of sizes (powers of 5/4) apart, so the number of sub-classes may
 follow the size: partners stand in the same or the next band.
 
-Nodes are different sets, named by 64 bits of their digest, so copies are one node whatever their ids. Candidates of a
+Nodes are different sets, named by the number of one row that has it, so copies are one node whatever their ids. Candidates of a
 signature are not expanded into pairs: a first round verifies each member against one hub, and a second one only members of
 different components. A signature that too many such members share goes a round deeper: its members are indexed anew, in the
 order of how many of just them hold a token, so that what they all have in common comes last. Keys that many rows share
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPREAD_ROWS, Bloom, Held, Seen, as_bytes, bloom, fresh, heavy_keys, integer_id, materialize, mix64, salted_join, small_batches, text_slices
+from .common import SPREAD_ROWS, Bloom, Held, Seen, as_bytes, bloom, fresh, heavy_keys, integer_id, materialize, mix64, salted_join, settle, small_batches, text_slices
 from .graph import components
 from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 
@@ -66,10 +66,13 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, h1 long, h2 long, tokens binary")
 
 
-def _sets(batches):
-    """(node, set) of each row of (h1, tokens)."""
+def _sets(batches, wanted: tuple):
+    """(node, set) of the rows (row, tokens) that a filter lets through. A row too many does no harm: it is one more node."""
+    wanted = Bloom(*wanted)
     for batch in batches:
-        for i, x in zip(batch.column("h1").to_pylist(), batch.column("tokens")):
+        rows = batch.column("row").to_numpy()
+        some = np.flatnonzero(wanted.has(rows.view(np.uint64)))
+        for i, x in zip(rows[some].tolist(), batch.column("tokens").take(pa.array(some))):
             yield i, np.frombuffer(x.as_buffer(), np.uint64)
 
 
@@ -77,8 +80,9 @@ def _blobs(schema: list[str], rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=schema)
 
 
-def frequent_tokens(sets: DataFrame, total: int, frequent: int, buckets: int, hold: Held, most: int) -> tuple[Bloom, Bloom, int]:
-    """Filters of the frequent and of the very frequent tokens, and the bits of a token that count for them. sets: h1, tokens."""
+def frequent_tokens(sets: DataFrame, nodes, total: int, frequent: int, buckets: int, most: int) -> tuple[Bloom, Bloom, int]:
+    """Filters of the frequent and of the very frequent tokens, and the bits of a token that count for them. sets: row, tokens;
+    nodes: a broadcast filter of the rows that count."""
     bits = min(60, max(32, int(total).bit_length() + 4))
     drop = np.uint64(64 - bits)
 
@@ -90,7 +94,7 @@ def frequent_tokens(sets: DataFrame, total: int, frequent: int, buckets: int, ho
             rows = [[b, pack(v, c)] for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
             return _blobs(["bucket", "part"], rows)
 
-        for _, tokens in _sets(batches):
+        for _, tokens in _sets(batches, nodes.value):
             held.append(tokens)
             size += len(tokens)
             if size >= FLUSH:
@@ -109,7 +113,7 @@ def frequent_tokens(sets: DataFrame, total: int, frequent: int, buckets: int, ho
         keep = df >= frequent
         return pa.table({"token": pa.array(values[first][keep].view(np.int64), pa.int64()), "df": pa.array(df[keep].astype(np.int64), pa.int64())})
 
-    tokens = hold(sets.mapInArrow(count, "bucket int, part binary").groupBy("bucket").applyInArrow(add, "token long, df long"))
+    tokens = settle(sets.mapInArrow(count, "bucket int, part binary").groupBy("bucket").applyInArrow(add, "token long, df long"), "frequent")
     least, by = frequent, {r.level: r["count"] for r in tokens.groupBy(F.floor(F.log2(F.col("df") / frequent)).cast("int").alias("level")).count().collect()}
     while sum(n for level, n in by.items() if frequent << level >= least) > most:
         least *= 2
@@ -173,9 +177,9 @@ def _overlap(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def candidates(sets: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: int) -> DataFrame:
+def candidates(sets: DataFrame, nodes, usual: Bloom, very: Bloom, bits: int, buckets: int) -> DataFrame:
     """Rows of two kinds. With hub: a candidate pair of nodes (hub, doc). Without: the node doc is a member of the signature
-    ``run``, with its size n and the tokens ``most`` that it can share there. sets: h1, tokens."""
+    ``run``, with its size n and the tokens ``most`` that it can share there. sets and nodes as in frequent_tokens."""
     sc, drop = sets.sparkSession.sparkContext, np.uint64(64 - bits)
     sent = sc.broadcast((usual.parts(), very.parts()))
 
@@ -215,7 +219,7 @@ def candidates(sets: DataFrame, usual: Bloom, very: Bloom, bits: int, buckets: i
                 if len(more):
                     heavy.append((more, np.full(len(more), i, np.int64), np.full(len(more), len(s), np.int64), most))
 
-        for i, s in _sets(batches):
+        for i, s in _sets(batches, nodes.value):
             batch.append((i, s))
             batch_size += len(s)
             if batch_size >= FLUSH // 4:
@@ -278,25 +282,25 @@ def _fits(a: str, b: str):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(ma, mb) >= PERCENT * (na + nb))
 
 
-def fetch(sets: DataFrame, classes: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """node, tokens of (at least) the ``count`` nodes. Only sets that a filter of fixed size lets through leave their place."""
-    rows = nodes.join(classes.select(F.col("h1").alias("node"), "row"), "node")
-    sent = sets.sparkSession.sparkContext.broadcast(bloom(rows, "row", count).parts())
+def fetch(sets: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """node, tokens of the ``count`` nodes, and of some more. Only sets that a filter of fixed size lets through leave their
+    place."""
+    sent = sets.sparkSession.sparkContext.broadcast(bloom(nodes, "node", count).parts())
 
     def pick(batches):
         wanted = Bloom(*sent.value)
         for batch in batches:
             keep = pa.array(wanted.has(batch.column("row").to_numpy().view(np.uint64)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("tokens")], names=["node", "tokens"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tokens")], names=["node", "tokens"]).filter(keep)
 
-    return sets.select("row", "h1", "tokens").mapInArrow(pick, "node long, tokens binary")
+    return sets.select("row", "tokens").mapInArrow(pick, "node long, tokens binary")
 
 
-def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame, hold: Held) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are linked, as a held frame. pairs is a table."""
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are linked. pairs is a table, and so is the result."""
     total = 2 * pairs.count()
     degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links")), "degree", total)
-    found = fetch(sets, classes, degree, degree.count())
+    found = fetch(sets, degree, degree.count())
 
     def heavy(end):
         return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total)
@@ -314,7 +318,7 @@ def verify(sets: DataFrame, classes: DataFrame, pairs: DataFrame, hold: Held) ->
 
     x = salted_join(pairs, found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), ["a"], heavy("a"), "b")
     y = salted_join(x, found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), ["b"], heavy("b"), "a")
-    return hold(y.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"))
+    return settle(y.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
 
 
 def _mixed(postings: DataFrame) -> tuple[DataFrame, int] | None:
@@ -341,7 +345,7 @@ def _across(mixed: DataFrame) -> DataFrame:
     return pairs.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b"))
 
 
-def _anew(sets: DataFrame, classes: DataFrame, members: DataFrame, hold: Held) -> DataFrame:
+def _anew(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Postings as in _mixed, by the prefixes of the members (doc, n, component; a table) in the order of how many of them hold
     a token: a run is a token, and who holds a token alone has no posting of it."""
 
@@ -352,8 +356,8 @@ def _anew(sets: DataFrame, classes: DataFrame, members: DataFrame, hold: Held) -
                 for k in range(0, len(x), FLUSH):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + FLUSH]), pa.array(np.full(len(x[k : k + FLUSH]), i, np.int64))], names=["run", "doc"])
 
-    spelt = fetch(sets, classes, members.select(F.col("doc").alias("node")), members.count()).mapInArrow(spell, "run long, doc long")
-    spelt = hold(spelt.join(members.select("doc"), "doc", "left_semi").distinct())
+    spelt = fetch(sets, members.select(F.col("doc").alias("node")), members.count()).mapInArrow(spell, "run long, doc long")
+    spelt = settle(spelt.join(members.select("doc"), "doc", "left_semi"), "spelt")
     total = spelt.count()
     held_by = materialize(spelt.groupBy("run").agg(F.count("*").alias("df")).where("df > 1"), "held_by", total)
     met = salted_join(spelt, held_by, ["run"], heavy_keys(held_by, ["run"], "df", total), "doc")
@@ -383,7 +387,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         every = hold(token_sets(docs))
         seen = every.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("n_shingles"))).alias("tokens")).first()
         profile = materialize(every.select("row", "doc_id", "n_shingles", "h1", "h2", F.col("tokens").isNotNull().alias("kept")), "profiles", seen.rows)
-        placed = _placed(every.where("tokens is not null"), profile, seen.rows, seen.tokens, hold, frequent, most_frequent, work) if seen.tokens else None
+        placed = _placed(every.where("tokens is not null").select("row", "tokens"), profile, seen.rows, seen.tokens, frequent, most_frequent, work) if seen.tokens else None
     own = F.col("doc_id")
     if placed is None:
         return profile.select("doc_id", "n_shingles", own.alias("class_id"), own.alias("component_id"))
@@ -394,19 +398,29 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(bare)
 
 
-def _placed(sets: DataFrame, profile: DataFrame, rows: int, total: int, hold: Held, frequent: int, most_frequent: int, work: int) -> DataFrame:
-    """n_shingles, h1, h2, copies, class_id, component_id of each different set. sets: rows of token_sets with tokens."""
+def _same_id(has: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """Links (a, b) that join the nodes of an id that stands on several texts."""
+    several = has.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    several = materialize(several.select("doc_id", "c"), "several", rows)
+    if several.isEmpty():
+        return has.sparkSession.createDataFrame([], "a long, b long")
+    key = ["n_shingles", "h1", "h2"]
+    own = salted_join(has.select("row", "doc_id", *key), several, ["doc_id"], heavy_keys(several, ["doc_id"], "c", rows), "row")
+    own = own.select("doc_id", *key).distinct().join(classes.select(*key, F.col("row").alias("a")), key).select("doc_id", "a")
+    return own.join(own.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").where("a <> b").select("a", "b")
+
+
+def _placed(sets: DataFrame, profile: DataFrame, rows: int, total: int, frequent: int, most_frequent: int, work: int) -> DataFrame:
+    """n_shingles, h1, h2, copies, class_id, component_id of each different set. sets: row, tokens of token_sets."""
     has = profile.where("doc_id is not null and n_shingles > 0")
     classes = has.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("kept"), F.col("row"))).alias("row"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes", rows)
-    # an id on several texts joins their nodes
-    several = materialize(has.groupBy("doc_id").agg(F.min("h1").alias("b"), F.max("h1").alias("hi"), F.count("*").alias("c")).where("b <> hi").drop("hi"), "several", rows)
-    same_id = salted_join(has.select("doc_id", "row", F.col("h1").alias("a")), several, ["doc_id"], heavy_keys(several, ["doc_id"], "c", rows), "row").where("a <> b").select("a", "b").distinct()
+    same_id = _same_id(has, classes, rows)
+    nodes = sets.sparkSession.sparkContext.broadcast(bloom(classes, "row", classes.count()).parts())
 
     buckets = max(32, math.ceil(total / FLUSH))
-    tokens = sets.select("h1", "tokens")
-    usual, very, bits = frequent_tokens(tokens, total, frequent, buckets, hold, most_frequent)
-    runs = hold(candidates(tokens, usual, very, bits, buckets))
+    usual, very, bits = frequent_tokens(sets, nodes, total, frequent, buckets, most_frequent)
+    runs = settle(candidates(sets, nodes, usual, very, bits, buckets), "runs")
     suggested = runs.count()
     members = materialize(runs.where("hub is null").groupBy("run", "doc").agg(F.max("n").alias("n"), F.max("most").alias("most")), "members", suggested)
     # the member of a signature that can share most is nearest to the others
@@ -417,7 +431,7 @@ def _placed(sets: DataFrame, profile: DataFrame, rows: int, total: int, hold: He
     stars = stars.where("m.doc <> h.doc").where(_fits("m", "h")).select(F.least("m.doc", "h.doc").alias("a"), F.greatest("m.doc", "h.doc").alias("b"))
     pairs = runs.where("hub is not null").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
     first = materialize(pairs.unionByName(stars).where("a <> b").distinct(), "first", suggested)
-    links = verify(sets, classes, first, hold).unionByName(same_id)
+    links = verify(sets, first).unionByName(same_id)
     found = components(links)
 
     # members of one signature in different components: all that is left to verify
@@ -426,16 +440,16 @@ def _placed(sets: DataFrame, profile: DataFrame, rows: int, total: int, hold: He
     if mixed := _mixed(materialize(postings, "placed", suggested)):
         cross = _across(mixed[0].where(F.col("work") <= work))
         crowd = materialize(mixed[0].where(F.col("work") > work).select("doc", "n", "component").distinct(), "crowd", mixed[1])
-        if not crowd.isEmpty() and (deeper := _mixed(_anew(sets, classes, crowd, hold))):
+        if not crowd.isEmpty() and (deeper := _mixed(_anew(sets, crowd))):
             cross = cross.unionByName(_across(deeper[0]))
         cross = materialize(cross.distinct().join(first, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
-            found = components(links.unionByName(verify(sets, classes, cross, hold)))
+            found = components(links.unionByName(verify(sets, cross)))
 
-    named = found.join(classes.select(F.col("h1").alias("node"), "class_id"), "node")
+    named = found.join(classes.select(F.col("row").alias("node"), "class_id"), "node")
     tops = materialize(named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("c")), "tops", rows)
-    tops_of = salted_join(found, tops, ["component"], heavy_keys(tops, ["component"], "c", rows), "node").select(F.col("node").alias("h1"), "component_id")
-    placed = classes.join(tops_of, "h1", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    of = salted_join(named.drop("class_id"), tops, ["component"], heavy_keys(tops, ["component"], "c", rows), "node").select(F.col("node").alias("row"), "component_id")
+    placed = classes.join(of, "row", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
     return materialize(placed.select("n_shingles", "h1", "h2", "copies", "class_id", "component_id"), "placed", rows)
 
 
