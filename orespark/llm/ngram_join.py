@@ -282,43 +282,76 @@ def _fits(a: str, b: str):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(ma, mb) >= PERCENT * (na + nb))
 
 
-def fetch(sets: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """node, tokens of the ``count`` nodes, and of some more. Only sets that a filter of fixed size lets through leave their
-    place."""
+def fetch(sets: DataFrame, nodes: DataFrame, count: int, shown) -> DataFrame:
+    """node, tokens of the ``count`` nodes, and of some more; tokens as ``shown`` gives them. Only sets that a filter of fixed
+    size lets through leave their place."""
     sent = sets.sparkSession.sparkContext.broadcast(bloom(nodes, "node", count).parts())
 
     def pick(batches):
-        wanted = Bloom(*sent.value)
         for batch in batches:
-            keep = pa.array(wanted.has(batch.column("row").to_numpy().view(np.uint64)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tokens")], names=["node", "tokens"]).filter(keep)
+            got = [(i, shown(s)) for i, s in _sets([batch], sent.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["node", "tokens"])
 
-    return sets.select("row", "tokens").mapInArrow(pick, "node long, tokens binary")
+    return sets.mapInArrow(pick, "node long, tokens binary")
+
+
+#: Tokens from which on a set's short form has four bytes of each, not two.
+WIDE = 1 << 12
+
+
+def shortened(tokens: np.ndarray) -> bytes:
+    """The first two (or four) bytes of each token, and how many at the end."""
+    wide = len(tokens) >= WIDE
+    return (tokens >> np.uint64(32 if wide else 48)).astype("<u4" if wide else "<u2").tobytes() + bytes([4 if wide else 2])
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether sets of these short forms can be linked: no fewer tokens seem to be shared than are."""
+    a, b = (np.frombuffer(t, f"<u{t[-1]}", count=len(t) // t[-1]) for t in (x, y))
+    if a.itemsize != b.itemsize:
+        a, b = ((t >> 16).astype(np.uint16) if t.itemsize == 4 else t for t in (a, b))
+    if a.itemsize == 2:
+        held = np.zeros(1 << 16, bool)
+        held[b] = True
+        shared = int(held[a].sum())
+    else:
+        shared = int(np.isin(a, b).sum())
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
+def are_linked(x: bytes, y: bytes) -> bool:
+    both = np.frombuffer(x + y, np.uint64).copy()
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(both) - shared)
 
 
 def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are linked. pairs is a table, and so is the result."""
+    """Those of the pairs (a, b) of nodes whose sets are linked. pairs is a table, and so is the result. Short forms of the sets
+    tell most of the others off before whole sets move."""
+    for shown, test in ((shortened, may_link), (np.ndarray.tobytes, are_linked)):
+        pairs = _tested(sets, pairs, shown, test)
+    return pairs
+
+
+def _tested(sets: DataFrame, pairs: DataFrame, shown, test) -> DataFrame:
     total = 2 * pairs.count()
+    if not total:
+        return pairs
     degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links")), "degree", total)
-    found = fetch(sets, degree, degree.count())
+    found = fetch(sets, degree, degree.count(), shown)
 
     def heavy(end):
         return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total)
 
-    def linked(batches):
+    def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= PERCENT * (len(both) - shared))
+            keep = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = salted_join(pairs, found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), ["a"], heavy("a"), "b")
     y = salted_join(x, found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), ["b"], heavy("b"), "a")
-    return settle(y.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    return settle(y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "tested")
 
 
 def _mixed(postings: DataFrame) -> tuple[DataFrame, int] | None:
@@ -356,7 +389,7 @@ def _anew(sets: DataFrame, members: DataFrame) -> DataFrame:
                 for k in range(0, len(x), FLUSH):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + FLUSH]), pa.array(np.full(len(x[k : k + FLUSH]), i, np.int64))], names=["run", "doc"])
 
-    spelt = fetch(sets, members.select(F.col("doc").alias("node")), members.count()).mapInArrow(spell, "run long, doc long")
+    spelt = fetch(sets, members.select(F.col("doc").alias("node")), members.count(), np.ndarray.tobytes).mapInArrow(spell, "run long, doc long")
     spelt = settle(spelt.join(members.select("doc"), "doc", "left_semi"), "spelt")
     total = spelt.count()
     held_by = materialize(spelt.groupBy("run").agg(F.count("*").alias("df")).where("df > 1"), "held_by", total)
