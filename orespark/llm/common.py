@@ -132,6 +132,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(name, str(most))
 
 
+def sampled(hashes: DataFrame, n: int) -> int | None:
+    """The n-th lowest of the different values of a column of hashes (the highest, if there are fewer), None if there is none.
+    Only a part of them that is likely to hold n is gathered first, then a larger one."""
+    column = F.col(hashes.columns[0])
+    total, share = hashes.count(), 0.0
+    while total and share < 1:
+        share = min(1.0, share * 16 or 4 * n / total)
+        below = hashes.where(column <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).distinct()
+        top = below.orderBy(column).limit(n).agg(F.max(column), F.count(column)).first()
+        if top[1] >= n or share >= 1:
+            return top[0]
+    return None
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_texts, small_batches, summed_arrays, text_slices
+from .common import as_texts, fresh, sampled, small_batches, summed_arrays, text_slices
 
 PLACES = 1 << 16
 UNKNOWN = "und"
@@ -122,16 +122,18 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from docs (doc_id, text, lang), all of them learnable: lang and text not null."""
+    """Learn from docs (doc_id, text, lang), all of them learnable: lang and text not null. The sample are the ids with the lowest
+    hashes, of all and of each language; of rows that share an id and a language, one is learned from."""
     small_batches(docs.sparkSession)
-    named = docs.select("doc_id", "lang")
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen += named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LEAST).select("doc_id", "lang").collect()
-    languages = sorted({r.lang for r in chosen})
-    if not languages:
+    docs = docs.select(F.xxhash64("doc_id").alias("h"), "text", "lang")
+    cut = sampled(docs.select("h"), sample)
+    if cut is None:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
-    sent = docs.sparkSession.sparkContext.broadcast((sorted({r.doc_id for r in chosen}), letter_table()))
+    first = Window.partitionBy("lang").orderBy("h")
+    least = docs.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= LEAST).select("lang", "h").collect()
+    languages = sorted({r.lang for r in least})
+    chosen = (F.col("h") <= cut) | F.col("h").isin(sorted({r.h for r in least}))
+    sent = docs.sparkSession.sparkContext.broadcast(({(r.lang, r.h) for r in least}, letter_table()))
 
     def frequencies(batches):
         letters, df = sent.value[1], np.zeros(PLACES + 1, np.int64)
@@ -146,18 +148,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         yield "df", df
 
     def features(batches):
-        ids, letters = set(sent.value[0]), sent.value[1]
+        own, letters = sent.value
         for batch in batches:
-            batch = batch.filter(pa.array([i in ids for i in batch.column("doc_id").to_pylist()], pa.bool_()))
+            named = zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())
+            batch = batch.filter(pa.array([h <= cut or (lang, h) in own for lang, h in named], pa.bool_()))
             for part in text_slices([batch]):
                 rows, starts, _ = ngram_places(as_texts(part.column("text")), letters)
                 stops = [*starts[1:].tolist(), rows.shape[1]]
                 got = [np.unique(r[r >= 0], return_counts=True) for r in (rows[:, a:b].ravel() for a, b in zip(starts.tolist(), stops))]
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([g[0].astype(np.int32).tobytes() for g in got], pa.binary()), pa.array([g[1].astype(np.int32).tobytes() for g in got], pa.binary())], names=["lang", "places", "counts"])
+                columns = [pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), *columns], names=["h", "lang", "places", "counts"])
 
     df = summed_arrays(docs.select("text"), frequencies, {"df": PLACES + 1})["df"]
     idf = np.log((1.0 + df[PLACES]) / (1.0 + df[:PLACES])) + 0.1
-    rows = docs.where(F.col("doc_id").isin(sent.value[0])).mapInArrow(features, "lang string, places binary, counts binary").collect()
+    rows = docs.where(chosen).mapInArrow(features, "h long, lang string, places binary, counts binary")
+    rows = rows.groupBy("h", "lang").agg(F.min(F.struct("places", "counts")).alias("x")).select("lang", "x.*").collect()
     examples = []
     for r in sorted(rows):
         places, counts = np.frombuffer(r.places, np.int32), np.frombuffer(r.counts, np.int32)
@@ -180,8 +185,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score", drop: list[str] = ()) -> DataFrame:
-    """docs without the columns of ``drop``, with two more: the language, ``und`` with score 0 if the text is null or has no
-    letter, and its probability."""
+    """docs without the columns of ``drop``, with two more, whose names no column may have: the language, ``und`` with score 0 if
+    the text is null or has no letter, and its probability. Rows are independent."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.temperature, letter_table()))
     kept = [c for c in docs.columns if c not in drop]
 
@@ -200,8 +205,10 @@ def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def known_language(docs: DataFrame, *, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """Those rows of docs (doc_id, text, lang and any others) whose language is told with at least this probability."""
-    pred, score = "__lang_pred", "__lang_score"
+    """Those rows of docs (doc_id, text, lang and any others, whatever they are called) whose language is told with at least this
+    probability. Null texts and those without a letter go; null ids and languages and repeated rows stay if their text does;
+    where nothing can be learned, all go; an empty table gives an empty result."""
+    pred, score = fresh("_lang_pred", docs.columns), fresh("_lang_score", docs.columns)
     told = identify(docs, fit(learnable(docs), sample), pred=pred, score=score)
     return told.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(docs.columns)
 
