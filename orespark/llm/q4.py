@@ -24,8 +24,8 @@ v AS (SELECT *, st + length(match) AS en, kind <> 'live' AS base, CASE WHEN kind
 k AS (SELECT * FROM v WHERE CASE kind WHEN 'assign' THEN length(value) >= 8 WHEN 'access' THEN length(match) >= 16 WHEN 'hex' THEN true
   ELSE regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]') AND len(list_distinct(string_split(match, ''))) >= 10 END),
 n AS (SELECT * FROM k x WHERE base OR NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = x.doc_id AND b.base AND b.st < x.en AND b.en > x.st)),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM n GROUP BY 1),
-f AS (SELECT n.*, owners < 2 AS live, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS ord, concat(kind, ':', st, ':', en) AS s FROM n JOIN o USING (value) WHERE base OR owners < 2)
+o AS (SELECT value, count(DISTINCT source) < 2 AND count(DISTINCT doc_id) < 5 AS live FROM n GROUP BY 1),
+f AS (SELECT n.*, live, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS ord, concat(kind, ':', st, ':', en) AS s FROM n JOIN o USING (value) WHERE base OR live)
 SELECT d.doc_id, count(s) FILTER (kind = 'assign') AS n_assign, count(s) FILTER (kind = 'access') AS n_access, count(s) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(s, ',' ORDER BY st, ord) FILTER (base), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY st, ord), '') AS spans,
   count(s) FILTER (base AND live) AS n_live, count(s) FILTER (base AND NOT live) AS n_example

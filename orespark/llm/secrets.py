@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership of the values found. DataFrame functions only.
 
 Fixed patterns give the base spans. A further pattern gives candidates: long runs of key characters that hold upper and lower
-case letters, digits and enough different characters. Every value's hash is counted by the repositories and owners that hold
-it: what several owners hold is a widely copied example, what one owner holds looks live. Candidates of the latter kind that
-touch no base span are added.
+case letters, digits and enough different characters. Every value's hash is counted by the different repositories and owners
+that hold it: what several owners hold, or one owner in many repositories, is a widely copied example; what one owner holds in
+few looks live. Candidates of the latter kind that touch no base span are added.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import heavy_keys, materialize, salted_join
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: pattern, group of the value, characters that the value has at least.
 BASE = {"assign": (ASSIGN, 1, 8), "access": ("AKIA[A-Z0-9]+", 0, 16), "hex": ("[0-9a-f]{32,}", 0, 32)}
 #: The method's own kind; its pattern finds runs with a digit only, from their first character.
 LIVE = ("live", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}", 20)
-#: Different characters of a live-looking value at least; owners from which on a value is an example.
-VARIETY, OWNERS = 10, 2
+#: Different characters of a live-looking value at least; owners, and repositories, from which on a value is an example.
+VARIETY, OWNERS, REPOS = 10, 2, 5
 KINDS = [*BASE, LIVE[0]]
 
 
@@ -45,16 +45,16 @@ def secret_matches(docs: DataFrame) -> DataFrame:
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """hash, repos, owners for values (hash, repo, owner): how many different ones hold it. Counted key by key, so that a
-    value that stands everywhere is added up before it meets."""
-    each = values.select("hash", "owner", "repo").distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count("repo").alias("repos"))
-    owners = by_owner.groupBy("hash").agg(F.count("owner").alias("owners"))
-    return owners.join(each.select("hash", "repo").distinct().groupBy("hash").agg(F.count("repo").alias("repos")), "hash")
+    """hash, rows, repos, owners for values (hash, repo, owner): in how many rows a value stands, and how many different
+    repositories and owners hold it. Counted key by key, so that a value that stands everywhere is added up before it meets."""
+    by_repo = values.groupBy("hash", "repo").agg(F.count("*").alias("rows"))
+    repos = by_repo.groupBy("hash").agg(F.sum("rows").alias("rows"), F.count("repo").alias("repos"))
+    by_owner = values.groupBy("hash", "owner").agg(F.count("*").alias("rows"))
+    return repos.join(by_owner.groupBy("hash").agg(F.count("owner").alias("owners")), "hash")
 
 
 def classified(matches: DataFrame) -> DataFrame:
-    """The matches that count, with base, owners and repos, and live: held by one owner, and live-looking."""
+    """The matches that count, with base, owners and repos, and live: held by one owner, in few repositories."""
     value, fits = F.lit(None).cast("string"), F.lit(False)
     for kind, (pattern, group, least) in BASE.items():
         own = F.regexp_extract("match", pattern, group)
@@ -70,8 +70,10 @@ def classified(matches: DataFrame) -> DataFrame:
     begins = F.min(F.when(F.col("base"), F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing))
     found = found.withColumn("touches", ~F.col("base") & (F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(begins < F.col("end"), F.lit(False))))
     found = materialize(found.where("not touches").select("row", "repo", "owner", "kind", "start", "end", "base", "hash"), "found")
-    held = ownership(found)
-    return found.join(held, "hash").withColumn("live", F.col("owners") < OWNERS).where("base or live")
+    total = found.count()
+    held = materialize(ownership(found), "ownership", total)
+    known = salted_join(found, held, ["hash"], heavy_keys(held, ["hash"], "rows", total), "row")
+    return known.withColumn("live", (F.col("owners") < OWNERS) & (F.col("repos") < REPOS)).where("base or live")
 
 
 def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
@@ -79,8 +81,9 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     spans has kind:start:end of all spans, by start, then kind as listed in KINDS, joined by commas; base_sha256 is the
     digest of the same of the base ones. Places are code points, the end exclusive. n_live and n_example count base spans
-    whose value one owner holds, and several. A null text counts as empty; a null repository or owner counts as none;
-    repeated rows and null ids stay; an empty table gives an empty result. Other columns are not read.
+    whose value looks live (fewer than OWNERS owners, fewer than REPOS repositories hold it), and the others. A null text counts
+    as empty; a null repository or owner counts as none; repeated rows and null ids stay; an empty table gives an empty result.
+    Other columns are not read. Where there is no column of repositories, each document is one.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     matches = secret_matches(docs)
