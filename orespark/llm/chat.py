@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Template:
     """What a turn looks like, the roles whose texts are learned from, and the automaton of roles: from each state the state
-    that a role leads to. Texts' control strings, which all begin with ``mark``, are escaped by ``escape`` inside the mark."""
+    that a role leads to. Control strings, which all begin with ``mark``, are escaped by ``escape`` inside the mark, and so is
+    what ends a role, inside a role."""
 
     begin: str = "<|im_start|>"
     after_role: str = "\n"
@@ -26,6 +27,17 @@ class Template:
         """No mark is left, and the way back is unique."""
         return F.replace(F.replace(text, F.lit(self.escape), F.lit(self.escape * 2)), F.lit(self.mark), F.lit(self.mark[0] + self.escape + self.mark[1:]))
 
+    @property
+    def ends_role(self) -> str:
+        """What stands in a role for what would end it: no escaped text holds it."""
+        return f"{self.mark[0]}{self.escape}n"
+
+    def escaped_role(self, role: Column) -> Column:
+        return F.replace(self.escaped(role), F.lit(self.after_role), F.lit(self.ends_role))
+
+    def plain_role(self, role: Column) -> Column:
+        return self.plain(F.replace(role, F.lit(self.ends_role), F.lit(self.after_role)))
+
     def plain(self, text: Column) -> Column:
         return F.replace(F.replace(text, F.lit(self.mark[0] + self.escape + self.mark[1:]), F.lit(self.mark)), F.lit(self.escape * 2), F.lit(self.escape))
 
@@ -43,38 +55,41 @@ def format_chat(turns: DataFrame, template: Template = DEFAULT, *, id_col: str =
     columns are not read. A conversation's turns meet in one row: it is one document of training.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = turns.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.withColumn("head", F.concat(F.lit(template.begin), template.escaped_role(F.col("role")), F.lit(template.after_role))).withColumn("body", template.escaped(F.col("text")))
+    # where each turn begins: a running sum in the order that the turns then meet in
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = (F.length("head") + F.length("body") + F.lit(len(template.end))).cast("long")
+    rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "head", "body"))).alias("t"))
 
     # a map from "state role" to the next state; what it lacks leads to the state "bad", from which nothing leads on
     step = F.create_map(*[F.lit(x) for state, to in template.states.items() for role, next_state in to.items() for x in (f"{state} {role}", next_state)])
     state = F.aggregate("t", F.lit("start"), lambda s, x: F.coalesce(F.try_element_at(step, F.concat_ws(" ", s, x["role"])), F.lit("bad")))
 
+    def learned(x):
+        return x["role"].isin(list(template.loss_roles))
+
     def segments(x):
-        learned = x["role"].isin(list(template.loss_roles))
-        head = F.concat(F.lit(template.begin), template.escaped(x["role"]), F.lit(template.after_role))
-        parts = ((head, F.lit(False)), (template.escaped(x["text"]), learned), (F.lit(template.end), F.lit(False)))
+        parts = ((x["head"], F.lit(False)), (x["body"], learned(x)), (F.lit(template.end), F.lit(False)))
         return F.array(*[F.struct(a.alias("text"), b.alias("loss")) for a, b in parts])
 
-    made = whole.select("conv_id", F.flatten(F.transform("t", segments)).alias("segments"), (state != "bad").alias("valid"), F.size("t").cast("long").alias("n_turns"))
-    lengths = F.transform("segments", lambda s: F.length(s["text"]))
-    made = made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), "")).withColumn("lengths", lengths)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("lengths", start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
-    spans = F.filter(F.transform(F.arrays_zip(F.col("segments"), starts.alias("starts"), F.col("lengths")), lambda z: F.struct(z["starts"].alias("start"), z["lengths"].alias("length"), z["segments"]["loss"].alias("loss"))), lambda z: z["loss"])
-    return made.withColumn("loss_spans", F.transform(spans, lambda z: F.struct(z["start"].alias("start"), z["length"].alias("length")))).drop("lengths")
+    formatted = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(template.end))), "")
+    spans = F.transform(F.filter("t", learned), lambda x: F.struct((x["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
+    return whole.select("conv_id", F.flatten(F.transform("t", segments)).alias("segments"), formatted.alias("formatted"), spans.alias("loss_spans"), (state != "bad").alias("valid"), F.size("t").cast("long").alias("n_turns"))
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """From conv_id, formatted, loss_spans: turns (array of role, text) and loss_text, both unescaped."""
+    """From conv_id, formatted, segments: turns (array of role, text), read from the formatted text, and loss_text, read from the
+    segments that are learned from, both unescaped."""
     cut = F.filter(F.split("formatted", _quoted(template.begin), -1), lambda p: p != "")
 
     def turn(p):
         body = F.substring_index(p, template.end, 1)
         at = F.instr(body, template.after_role)
-        return F.struct(template.plain(F.substring(body, F.lit(1), at - 1)).alias("role"), template.plain(F.substring(body, at + len(template.after_role), F.length(body))).alias("text"))
+        return F.struct(template.plain_role(F.substring(body, F.lit(1), at - 1)).alias("role"), template.plain(F.substring(body, at + len(template.after_role), F.length(body))).alias("text"))
 
-    learned = F.transform("loss_spans", lambda s: template.plain(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
+    learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.plain(s["text"]))
     return formatted.withColumn("turns", F.transform(cut, turn)).withColumn("loss_text", F.array_join(learned, ""))
 
 
