@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are windows of words, each half over the next, so that what is no longer than half a window lies wholly in one. A
-template is a set of words, and matches a block that holds enough of them. The words of all templates stand in one order,
+A template is a set of words. It is sought in blocks of twice its length and a quarter more, each half over the next, so that a
+copy of it, even with a quarter of other words in between, lies wholly in one. The words of all templates stand in one order,
 from the least to the most frequent in the whole corpus. A block that holds enough of a template holds one of its first
 |template| - needed + 1 words (prefix filter), has enough template words at all (length filter), and where the first shared
 word stands in both orders leaves enough words to come (positional filter); only such blocks are verified. The fixed
@@ -10,16 +10,16 @@ phrases are templates of which all words are needed, verified by their order.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, summed_arrays, text_slices
+from .license_texts import TEXTS
 
-#: Words of a block, and from one block to the next.
-BLOCK, STRIDE = 128, 64
+#: Words from one block to the next, as a multiple of the template's length, and at least.
+STRETCH, NEXT = 1.25, 8
 #: Part of a template's words that a block must hold; all of them if they are fewer than SHORT.
 CONTAINMENT, SHORT = 0.8, 8
 #: Fixed phrases and their labels.
@@ -38,7 +38,7 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
-}
+} | {text: label for label, text in TEXTS}
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), b"abcdefghijklmnopqrstuvwxyz" + b" " * (0x30 + 7 + 6 + 5))
 
 
@@ -58,10 +58,12 @@ class Scanner:
         self.number = {w: i for i, w in enumerate(vocabulary, 1)}
         self.phrases = [([self.number[w] for w in words(x)], label) for x, label in phrases.items()]
         self.templates = []
+        self.stride = []
         for x, label in templates.items():
             tokens = sorted({self.number[w] for w in words(x)})
             needed = len(tokens) if len(tokens) < SHORT else -int(-CONTAINMENT * len(tokens) // 1)
             self.templates.append((np.array(tokens), needed, label))
+            self.stride.append(max(NEXT, -int(-STRETCH * len(words(x)) // 1)))
         #: for each word: the templates (and phrases) in whose prefix it stands
         self.prefix: dict[int, list[int]] = {}
         for k, (tokens, needed, _) in enumerate(self.templates):
@@ -91,11 +93,11 @@ class Scanner:
                         seen.add((start, k))
                         places.append((start, label))
             for k in self.prefix.get(int(ids[at]), ()):
-                last = at // STRIDE
-                for block in range(max(0, last - BLOCK // STRIDE + 1), last + 1):
+                stride = self.stride[k]
+                for block in range(max(0, at // stride - 1), at // stride + 1):
                     if (block, k, "t") not in seen:
                         seen.add((block, k, "t"))
-                        if (got := self.verify(ids[block * STRIDE : block * STRIDE + BLOCK], k)) > found.get(self.templates[k][2], 0.0):
+                        if (got := self.verify(ids[block * stride : (block + 2) * stride], k)) > found.get(self.templates[k][2], 0.0):
                             found[self.templates[k][2]] = got
         return places, found
 
