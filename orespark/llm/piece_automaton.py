@@ -7,16 +7,16 @@ that is depends only on the longest suffix that begins a vocabulary entry and on
 it: that is a state. A transition reads one character and carries the change in the number of tokens, so the count of a
 text is the sum along its path. States are made when a text first needs them.
 
-A chunk of a text is a map from states to states with counts. Every state meets in the start state where white space
-follows something else, for no entry holds that inside. So a map is what stands before the first such place, still to be
-read from whatever state comes in, and the state and count after it. Such maps compose, and composition is associative.
+A chunk of a text is a map from states to states with counts, and it is known for the start state as soon as the chunk is
+read. From any other state the path runs into that of the start state: at the latest where white space follows something else,
+for no entry holds that inside, mostly after a few characters. So another state's value is found by following both paths
+until they meet. Such maps compose, and composition is associative; chunks may be read in any order and anywhere.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from dataclasses import dataclass
 
 from .common import Kept
 
@@ -109,7 +109,7 @@ class PieceAutomaton:
             if piece in self.score and last[at] and self.token(piece) and (not last[at][0] or self.neighbours(last[at][0], piece)):
                 break
         else:
-            raise AssertionError(f"no token of {text!r} agrees")
+            raise ValueError("these entries and scores are not those of a byte-pair tokenizer")
         change = last[at][1] + 1
         cut = next((k for k in range(len(text)) if text[k:] in self.begins), len(text))
         window = [(w[0], w[1] - change) if text[k:] in self.begins else None for k, w in enumerate(last[cut:], cut)]
@@ -125,14 +125,48 @@ class PieceAutomaton:
         return state, total
 
 
-@dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to a state: read ``head`` from it; then, if the chunk has a meeting place, be in ``exit`` (what
-    followed that place) with ``count`` tokens more."""
+    """What a chunk does to a state. ``head`` is what it holds before its first meeting place (``met``: it has one), all of it if
+    it has none; the start state leads to ``exit`` with ``count`` tokens."""
 
-    head: str
-    exit: State | None
-    count: int
+    def __init__(self, auto: PieceAutomaton, head: str, met: bool, exit: State, count: int):
+        self.auto, self.head, self.met, self.exit, self.count = auto, head, met, exit, count
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        known, step = self.auto.start, self.auto.step
+        if state is known:
+            return self.exit, self.count
+        total = beside = 0
+        for ch in self.head:
+            state, n = state.get(ch) or step(state, ch)
+            known, m = known.get(ch) or step(known, ch)
+            total, beside = total + n, beside + m
+            if state is known:
+                return self.exit, total + self.count - beside
+        return (self.exit, total + self.count - beside) if self.met else (state, total)
+
+
+class Composed:
+    """First one map, then another."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+        self.exit, n = second(first.exit)
+        self.count = first.count + n
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        state, n = self.first(state)
+        if state is self.first.exit:
+            return self.exit, n + self.count - self.first.count
+        state, m = self.second(state)
+        return state, n + m
+
+
+def scan(maps: list):
+    """The composition of maps in a row, by pairs: each round halves their number."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class Words(Kept):
@@ -155,11 +189,16 @@ class Counter:
         self.auto = PieceAutomaton(score)
         self.words = Words(self.auto)
 
+    def spelt(self, text: str, begins: bool = True) -> str:
+        """The text as entries spell it; ``begins`` tells whether it is the beginning of one."""
+        return SPACE * begins + text.replace(" ", SPACE)
+
     def chunk(self, text: str) -> ChunkMap:
-        """text: with SPACE for spaces."""
+        """text: as entries spell it."""
+        auto = self.auto
         meet = self.MEET.search(text, 1) if text else None
         if not meet:
-            return ChunkMap(text, None, 0)
+            return ChunkMap(auto, text, False, *auto.run(auto.start, text))
         head, body = text[: meet.start()], text[meet.start() :]
         parts = self.MEET.split(body)[1:] if SPACE * 2 in body else None
         if parts is None:
@@ -168,28 +207,25 @@ class Counter:
             count = sum(map(self.words.__getitem__, parts[1:]))
         else:
             tail = parts.pop()
-            count = sum(self.auto.run(self.auto.start, p)[1] for p in parts)
-        state, n = self.auto.run(self.auto.start, tail)
-        return ChunkMap(head, state, count + n)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b."""
-        if a.exit is None:
-            return ChunkMap(a.head + b.head, b.exit, b.count)
-        state, n = self.auto.run(a.exit, b.head)
-        return ChunkMap(a.head, state if b.exit is None else b.exit, a.count + n + b.count)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The composition of all, by pairs: each round halves their number, whatever their order in time."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+            count = sum(auto.run(auto.start, p)[1] for p in parts)
+        state, n = auto.run(auto.start, tail)
+        return ChunkMap(auto, head, True, state, auto.run(auto.start, head)[1] + count + n)
+
+    def read(self, text: str, chunk: int) -> ChunkMap:
+        """The map of a text that entries spell like this, of any length, read chunk by chunk."""
+        whole = scan([self.chunk(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)])
+        if isinstance(whole, ChunkMap):
+            return whole
+        meet = self.MEET.search(text, 1)
+        return ChunkMap(self.auto, text[: meet.start()] if meet else text, bool(meet), whole.exit, whole.count)
+
+    def rest(self) -> None:
+        """Drop the states if there are too many. Maps made before don't go with those made after."""
+        if len(self.auto.states) > MOST_STATES:
+            self.auto.reset()
 
     def count(self, text: str, chunk: int) -> int:
         if not text:
             return 0
-        if len(self.auto.states) > MOST_STATES:
-            self.auto.reset()
-        text = SPACE + text.replace(" ", SPACE)
-        whole = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return whole.count + self.auto.run(self.auto.start, whole.head)[1]
+        self.rest()
+        return self.read(self.spelt(text), chunk).count
