@@ -55,7 +55,13 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        plain &= model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not plain or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only byte-level vocabularies that change no text and cut it by the usual word pattern are read")
         letters, ids = byte_letters(), spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pieces = [b""] * (1 + max([*ids.values(), *special.values()]))
