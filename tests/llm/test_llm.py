@@ -160,17 +160,6 @@ def test_pii(spark, docs, odd):
     assert pii.pii_digests(odd).count() == 12 and pii.pii_digests(odd.where("false")).isEmpty()
 
 
-def test_field_spreads_labels():
-    import numpy as np
-
-    weights = np.zeros((pii.FEATURES, 5))
-    weights[0, 4] = 1.0
-    text = "Ring +4420 7946 0999 12 today. 442079460999 again"
-    spread = pii.Field(weights, np.zeros((5, 5)), 6.0)
-    known = [(3, 31, 43)]
-    assert spread.added("442079460999, then 442079460999", [(3, 19, 31)]) == [(3, 0, 12)] and spread.added(text, known) == []
-
-
 def test_decontamination(spark, odd):
     rng = random.Random(4)
     item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
@@ -189,15 +178,3 @@ def test_languages(spark, docs, odd):
     edge = {r.doc_id: r.lang_pred for r in langid.language_id(odd).collect()}
     assert edge[0] == edge[1] == edge[2] == "und" and edge[7] == "en" and langid.language_id(odd.where("false")).isEmpty()
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-
-
-def test_pipeline(spark, docs):
-    import corpus_pipeline
-
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, DIR)
-        assert after.columns == docs.columns
-        kept = after
-    left = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert left == {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} and 0 < len(left) < docs.count()
