@@ -34,19 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing.
+def write_down(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and the table's own folder. ``rows``, if it is known, sets how many files there are at
+    most."""
+    folder = f"{shared_dir(df.sparkSession)}/orespark/{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), folder
 
-    ``rows``, if it is known, sets how many files there are at most. The table stays until its folder, or that of a scratch()
-    around the call, is deleted.
-    """
-    path = f"{shared_dir(df.sparkSession)}/orespark/{uuid.uuid4().hex}/{name}"
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df down and read it again: lineage ends here, and lost executors cost nothing. The table stays until a scratch()
+    around the call ends, or its folder is deleted."""
+    table, folder = write_down(df, name, rows)
     if (made := _written.get()) is not None:
-        made.append(path.rpartition("/")[0])
-    if rows is not None:
-        df = df.coalesce(1 + rows // ROWS_A_FILE)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        made.append(folder)
+    return table
 
 
 def delete(spark: SparkSession, path: str) -> None:
