@@ -94,10 +94,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         return materialize(hold(df), name, df.count())
 
 
-def heavy_keys(counts: DataFrame, on: list[str], rows: str, total: int) -> DataFrame | None:
-    """The keys of counts (on, rows) that stand in so many of all ``total`` rows that they are spread, with the number of parts;
-    None if there is no such key. counts is read twice: a table or a held frame."""
-    limit = max(SPREAD_ROWS, total // MOST_HEAVY)
+def heavy_keys(counts: DataFrame, on: list[str], rows: str, total: int, least: int | None = None) -> DataFrame | None:
+    """The keys of counts (on, rows) that stand in so many of all ``total`` rows that they are spread, over ``least`` (SPREAD_ROWS)
+    at least, with the number of parts; None if there is no such key. counts is read twice: a table or a held frame."""
+    limit = max(least or SPREAD_ROWS, total // MOST_HEAVY)
     heavy = counts.where(F.col(rows) > limit).select(*on, F.ceil(F.col(rows) / limit).cast("int").alias("_parts"))
     return None if heavy.isEmpty() else heavy
 

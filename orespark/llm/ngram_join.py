@@ -35,6 +35,8 @@ from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 FREQUENT, VERY, MOST_FREQUENT = 32, 16, 1 << 21
 #: Pairs of members of different components that a signature may have before its members are indexed anew.
 WORK = 1 << 16
+#: Pairs of one node from which on they are spread over several tasks (below that, Spark splits tasks that get too much).
+HUB_LINKS = 1 << 16
 #: Tokens that a worker gathers before it passes them on.
 FLUSH = 1 << 20
 #: Sub-classes of frequent tokens, as a part of a set's size; sets under SMALL tokens index single ones.
@@ -342,7 +344,7 @@ def _tested(sets: DataFrame, pairs: DataFrame, shown, test) -> DataFrame:
     found = fetch(sets, degree, degree.count(), shown)
 
     def heavy(end):
-        return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total)
+        return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total, HUB_LINKS)
 
     def run(batches):
         for batch in batches:

@@ -60,6 +60,7 @@ def test_crowded_keys(spark, monkeypatch):
     """One text holds a third of the rows, one hub many near copies; keys of more than five rows are spread."""
     monkeypatch.setattr("orespark.llm.common.SPREAD_ROWS", 5)
     monkeypatch.setattr("orespark.llm.ngram_join.SPREAD_ROWS", 5)
+    monkeypatch.setattr("orespark.llm.ngram_join.HUB_LINKS", 5)
     long = " ".join(f"w{k}" for k in range(60))
     rows = [*texts(3, 60), *[(500 + i, "the same few words over and over again") for i in range(60)], *[(700 + i, f"{long} {i}") for i in range(60)]]
     assert answer(spark, rows, frequent=8) == brute_components(rows)
@@ -77,3 +78,19 @@ def test_an_id_on_several_texts(spark):
 def test_ids_must_be_integers(spark):
     with pytest.raises(TypeError):
         ngram_join.ngram_jaccard_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_short_forms_let_all_links_through():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40, 900, 4000, 5000, 30_000):
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        for part in (0.0, 0.1, 0.18, 0.3, 0.6):
+            keep = rng.random(len(x)) >= part
+            y = np.unique(np.concatenate((x[keep], rng.integers(0, 1 << 64, 3, dtype=np.uint64))))
+            linked = ngram_join.are_linked(x.tobytes(), y.tobytes())
+            assert linked == (100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)))
+            told = ngram_join.may_link(ngram_join.shortened(x), ngram_join.shortened(y))
+            assert told >= linked and (told or part >= 0.1 or n < 40)
+        assert n < 40 or not ngram_join.may_link(ngram_join.shortened(x), ngram_join.shortened(rng.integers(0, 1 << 64, n, dtype=np.uint64)))
