@@ -102,14 +102,14 @@ def heavy_keys(counts: DataFrame, on: list[str], rows: str, total: int, least: i
     return None if heavy.isEmpty() else heavy
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame | None, by: str) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame | None, by: str, how: str = "left") -> DataFrame:
     """left joined with right on equal keys, with the heavy ones of left's rows dealt out by the column ``by`` and right's rows
-    sent to all their parts."""
+    sent to all their parts. how="inner" if all of left's keys are heavy: other rows of right stay where they are."""
     if heavy is None:
         return left.join(right, on)
     parts = F.col("_parts")
     dealt = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), parts).cast("int"), F.lit(0))).drop("_parts")
-    copies = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop("_parts")
+    copies = right.join(F.broadcast(heavy), on, how).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copies, [*on, "_salt"]).drop("_salt")
 
 

@@ -35,8 +35,8 @@ from .shingles import PERCENT, WordHashes, pack, shingle_sets, unpack
 FREQUENT, VERY, MOST_FREQUENT = 32, 16, 1 << 21
 #: Pairs of members of different components that a signature may have before its members are indexed anew.
 WORK = 1 << 16
-#: Pairs of one node from which on they are spread over several tasks (below that, Spark splits tasks that get too much).
-HUB_LINKS = 1 << 16
+#: Pairs of one node from which on they are spread over several tasks.
+HUB_LINKS = 256
 #: Tokens that a worker gathers before it passes them on.
 FLUSH = 1 << 20
 #: Sub-classes of frequent tokens, as a part of a set's size; sets under SMALL tokens index single ones.
@@ -337,23 +337,38 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _tested(sets: DataFrame, pairs: DataFrame, shown, test) -> DataFrame:
+    """Those of the pairs whose sets, as shown, pass the test. Each set that is needed is dealt out once, by its node, and both
+    joins find it there; sets of nodes with very many pairs go to several tasks besides."""
     total = 2 * pairs.count()
     if not total:
         return pairs
     degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links")), "degree", total)
-    found = fetch(sets, degree, degree.count(), shown)
-
-    def heavy(end):
-        return heavy_keys(degree.withColumnRenamed("node", end), [end], "links", total, HUB_LINKS)
+    heavy = heavy_keys(degree, ["node"], "links", total, HUB_LINKS)
 
     def run(batches):
         for batch in batches:
             keep = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = salted_join(pairs, found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), ["a"], heavy("a"), "b")
-    y = salted_join(x, found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), ["b"], heavy("b"), "a")
-    return settle(y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "tested")
+    with Held() as hold:
+        found = hold(fetch(sets, degree, degree.count(), shown).repartition("node"))
+
+        def with_set(df, end, other, name, dense):
+            own = found.withColumnRenamed("node", end).withColumnRenamed("tokens", name)
+            return salted_join(df, own, [end], heavy.withColumnRenamed("node", end), other, "inner") if dense else df.join(own, end)
+
+        if heavy is None:
+            both = with_set(with_set(pairs, "a", "b", "x", False), "b", "a", "y", False)
+        else:
+            marked = pairs
+            for end in ("a", "b"):
+                marked = marked.join(F.broadcast(heavy.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_dense"))), end, "left")
+            both = None
+            for dense_a, dense_b in ((False, False), (True, False), (False, True), (True, True)):
+                some = marked.where((F.col("a_dense").isNotNull() == dense_a) & (F.col("b_dense").isNotNull() == dense_b)).select("a", "b")
+                some = with_set(with_set(some, "a", "b", "x", dense_a), "b", "a", "y", dense_b).select("a", "b", "x", "y")
+                both = some if both is None else both.unionByName(some)
+        return settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "tested")
 
 
 def _mixed(postings: DataFrame) -> tuple[DataFrame, int] | None:
