@@ -8,15 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FOLDS
-from ..functions.columns import strip
+from ..functions.columns import strip, with_missing
+from .quantiles import quantiles
 
-#: Rows of the minority that are sent out at once.
-KNN_BLOCK = 20_000
+#: Rows of the minority that meet each other in one task, and queries that are compared at once.
+KNN_BLOCK, KNN_QUERIES = 5000, 256
+#: Ranges that rows are numbered by.
+RANGES = 256
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the exact median of each column."""
-    return df.agg(*[F.median(c).alias(c) for c in columns])
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")
+    found = {r.name: r.q0 for r in quantiles(df.select(values).select("v.*"), ["name"], "value", [0.5]).collect()}
+    return df.sparkSession.createDataFrame([tuple(found.get(c) for c in columns)], ", ".join(f"`{c}` double" for c in columns))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with its rows numbered from 0 by a numeric key without ties: within ranges of it, and the ranges, whose number is
+    bounded, after each other."""
+    cuts = sorted(set(df.stat.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.row_number().over(inside) - 1).cast("long")).drop("_range", "_start")
 
 
 def impute(df: DataFrame, columns: list[str], fitted: DataFrame) -> DataFrame:
@@ -50,7 +66,7 @@ def round_robin_folds(df: DataFrame, position: str, n: int = FOLDS) -> DataFrame
 
 def split(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     """Training and test rows; synthetic rows only train."""
-    return df.where((F.col("fold") != fold) | F.col("is_synthetic")), df.where((F.col("fold") == fold) & ~F.col("is_synthetic"))
+    return df.where(F.coalesce(F.col("fold") != fold, F.lit(True)) | F.col("is_synthetic")), df.where((F.col("fold") == fold) & ~F.col("is_synthetic"))
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -61,56 +77,77 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return out.withColumn("positive_weight", F.when(F.col(label) == 1, F.try_divide(F.col("_n") - F.col("_p"), F.col("_p"))).otherwise(1.0)).drop("_n", "_k", "_p")
 
 
+def nearest_of(x: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, id, distance) of the k rows of block nearest to each row of x, and of those that rounding may bring among them;
+    rows with the own id don't count. Squared distances by products pick them out, exact ones are given."""
+    square = (block**2).sum(1)
+    out = []
+    for a in range(0, len(x), KNN_QUERIES):
+        q = x[a : a + KNN_QUERIES]
+        d = np.maximum((q**2).sum(1)[:, None] + square - 2 * (q @ block.T), 0)
+        d[own[a : a + KNN_QUERIES, None] == ids] = np.inf
+        far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        slack = 1e-9 * ((q**2).sum(1) + square.max())  # what the products may be off
+        near = np.sqrt(d) <= (np.sqrt(far + slack) + np.sqrt(slack) + 2e-6)[:, None]
+        i, j = np.nonzero(near & np.isfinite(d))
+        out.append((i + a, ids[j], np.round(np.sqrt(((q[i] - block[j]) ** 2).sum(1)), 6)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def neighbours(points: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
-    """(id, rank, neighbour, dist): the k nearest other rows, the lower id first of equals. Rows are sent out in blocks of bounded
-    size, each block meets all rows, and the best of each row are merged."""
-    sc, out = points.sparkSession.sparkContext, None
-    schema = f"{id_col} long, neighbour long, dist double"
-
-    def finder(sent):
-        def run(batches):
-            ids, block = sent.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf[vector].tolist(), float)
-                d = np.round(np.sqrt(((x[:, None, :] - block[None]) ** 2).sum(2)), 6)
-                d[pdf[id_col].to_numpy()[:, None] == ids[None]] = np.inf
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                rows = np.arange(len(x))[:, None]
-                ok = np.isfinite(d[rows, best])
-                yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), best.shape[1])[ok.ravel()], "neighbour": ids[best][ok], "dist": d[rows, best][ok]})
-
-        return run
-
-    def found(block):
-        sent = sc.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float)))
-        return points.select(id_col, vector).repartition(F.col(id_col)).mapInPandas(finder(sent), schema)
-
-    block: list = []
-    for r in points.select(id_col, vector).toLocalIterator():
-        block.append((r[0], list(r[1])))
-        if len(block) == KNN_BLOCK:
-            out, block = found(block) if out is None else out.unionByName(found(block)), []
-    if block:
-        out = found(block) if out is None else out.unionByName(found(block))
-    if out is None:
-        out = points.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy(id_col).orderBy("dist", "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(id_col, "rank", "neighbour", "dist")
+    """(id, rank, neighbour, dist): the k nearest other rows, the lower id first of equals. Rows are dealt into blocks of bounded
+    size, each two blocks meet in one task, and the best of each row are merged. Rows without an id or a vector have no part."""
+    points = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    blocks = max(1, -(-points.count() // KNN_BLOCK))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries, base = dealt.select("id", "v", F.col("block").alias("a"), every.alias("b")), dealt.select("id", "v", every.alias("a"), F.col("block").alias("b"))
+
+    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "dist": []}).astype({"id": "int64", "neighbour": "int64", "dist": "float64"})
+        own = q["id"].to_numpy()
+        i, neighbour, dist = nearest_of(np.array(q["v"].tolist(), float), own, np.array(b["v"].tolist(), float), b["id"].to_numpy(), k)
+        order = np.lexsort((neighbour, dist, i))
+        i, neighbour, dist = i[order], neighbour[order], dist[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return pd.DataFrame({"id": own[i], "neighbour": neighbour, "dist": dist})[rank < k]
+
+    out = queries.groupBy("a", "b").cogroup(base.groupBy("a", "b")).applyInPandas(best, "id long, neighbour long, dist double")
+    w = Window.partitionBy("id").orderBy("dist", "neighbour")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(id_col), "rank", "neighbour", "dist")
 
 
 def smote(minority: DataFrame, need: int, id_col: str, vector: str, k: int = 5) -> DataFrame:
     """(synthetic, seed, neighbour, u, vector): ``need`` points between rows and one of their k neighbours. Seeds go round in the
     order of ids; which neighbour and how far is a linear congruence of the number, so results are repeatable anywhere."""
     near = neighbours(minority, id_col, vector, k)
-    order = minority.select(id_col).withColumn("_i", F.row_number().over(Window.orderBy(id_col)) - 1)
+    order = numbered(minority.select(id_col), id_col, "_i")
     total, most = order.count(), near.agg(F.max("rank")).first()[0]
     if not total or not most or need <= 0:
         return minority.sparkSession.createDataFrame([], f"synthetic long, seed long, neighbour long, u double, {vector} array<double>")
     made = minority.sparkSession.range(need).select(F.col("id").alias("synthetic"), (F.col("id") % total).alias("_i"), F.expr(f"int((id * 1103515245 + 12345) % 2147483648 % {most}) + 1").alias("rank"), (F.expr("(id * 69069 + 1) % 2147483648") / F.lit(2147483648.0)).alias("u"))
-    made = made.join(F.broadcast(order), "_i").join(near, [id_col, "rank"])
+    made = made.join(order, "_i").join(near, [id_col, "rank"])
     a, b = minority.select(id_col, F.col(vector).alias("_a")), minority.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_b"))
     made = made.join(a, id_col).join(b, "neighbour")
     point = F.zip_with("_a", "_b", lambda p, q: p.cast("double") + F.col("u") * (q.cast("double") - p.cast("double")))
     return made.select("synthetic", F.col(id_col).alias("seed"), "neighbour", "u", point.alias(vector))
+
+
+def oversampled(rows: DataFrame, need: int, k: int = 5) -> DataFrame:
+    """rows (row_id, features, label, fold, is_synthetic) and, after them, ``need`` synthetic ones of label 1, without a fold, with
+    ids that go on from the largest."""
+    last = rows.agg(F.max("row_id")).first()[0] or 0
+    made = smote(rows.where("label = 1").select("row_id", "features"), need, "row_id", "features", k)
+    made = made.select((F.col("synthetic") + last + 1).alias("row_id"), "features", F.lit(1).alias("label"), F.lit(None).cast("int").alias("fold"), F.lit(True).alias("is_synthetic"))
+    return rows.select("row_id", F.col("features").cast("array<double>").alias("features"), "label", "fold", "is_synthetic").unionByName(made)
+
+
+def labelled(rows: DataFrame, label: str = "label") -> DataFrame:
+    """The rows that have a label, as an integer."""
+    return rows.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("int"))
+
+
+def aligned(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """keep and, in the order that a model was trained with, all its features; those that df lacks are NULL."""
+    return with_missing(df, features).select(*keep, *[F.col(c).cast("double").alias(c) for c in features])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RESOLUTION_M, TILE, GridMeta
+from ..functions.crs import to_lonlat, to_xy
+from .quantiles import quantiles
 
 
 def grid_over(box: tuple[float, float, float, float], resolution: float = RESOLUTION_M) -> GridMeta:
@@ -51,6 +53,26 @@ def warp_bilinear(cells: DataFrame, source: GridMeta, target: DataFrame) -> Data
     return four.join(cells, ["row", "col"]).groupBy("cell_id", "band").agg(mean.alias("value"))
 
 
+def projected_grid(spark: SparkSession, source: GridMeta, resolution: float = RESOLUTION_M, steps: int = 20) -> GridMeta:
+    """The grid in the target CRS that holds a source grid in degrees: its edge, each side in ``steps`` parts, is projected."""
+    x1, y1 = source.x0 + source.width * source.dx, source.y0 - source.height * source.dy
+    part = [k / steps for k in range(steps + 1)]
+    edge = [p for t in part for p in ((source.x0 + t * (x1 - source.x0), source.y0), (source.x0 + t * (x1 - source.x0), y1), (source.x0, y1 + t * (source.y0 - y1)), (x1, y1 + t * (source.y0 - y1)))]
+    x, y = to_xy("lon", "lat")
+    box = spark.createDataFrame(edge, "lon double, lat double").select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    return grid_over(tuple(box), resolution)
+
+
+def reproject(cells: DataFrame, source: GridMeta, target: GridMeta) -> DataFrame:
+    """(band, row, col, value) of the target grid from cells of a source grid in degrees: each target cell's centre is taken back to
+    degrees, and read there by bilinear means. Target cells that touch no source cell have no row."""
+    spark = cells.sparkSession
+    at = build_grid(spark, target)
+    lon, lat = to_lonlat("x", "y")
+    warped = warp_bilinear(cells, source, at.select("cell_id", lon.alias("x"), lat.alias("y")))
+    return warped.select("band", F.expr(f"int(cell_id div {target.width})").alias("row"), F.expr(f"int(cell_id % {target.width})").alias("col"), "value")
+
+
 def validate(cells: DataFrame) -> DataFrame:
     """n_cells, n_valid, min, max, valid for each band: a raster without any value is not valid."""
     return cells.groupBy("band").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_valid"), F.min("value").alias("min"), F.max("value").alias("max")).withColumn("valid", F.col("n_valid") > 0)
@@ -62,7 +84,7 @@ def band_stats(cells: DataFrame) -> DataFrame:
 
 def percentile_limits(cells: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Display limits of each band: exact percentiles, and the symmetric range around 0 that holds them."""
-    p = cells.groupBy("band").agg(F.percentile("value", F.lit(low)).alias("lo"), F.percentile("value", F.lit(high)).alias("hi"))
+    p = quantiles(cells, ["band"], "value", [low, high]).withColumnsRenamed({"q0": "lo", "q1": "hi"})
     return p.withColumn("limit", F.greatest(F.abs("lo"), F.abs("hi")))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 #: Ranges of scores between 0 and 1.
 RANGES = 1024
 
@@ -110,7 +112,9 @@ def top_features(importances: DataFrame, k: int, by: str = "model", value: str =
 def map_summary(cells: DataFrame, value: str = "prob") -> DataFrame:
     """One row: count, min, max, median, mean, and how many cells and percent lie over 0.5, 0.7 and 0.9."""
     over = [f for t in (0.5, 0.7, 0.9) for f in (F.count_if(F.col(value) > t).alias(f"over_{int(t * 100)}"), (100 * F.try_divide(F.count_if(F.col(value) > t), F.count(value))).alias(f"percent_{int(t * 100)}"))]
-    return cells.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"), F.avg(value).alias("mean"), *over)
+    median = quantiles(cells, [], value, [0.5]).select(F.col("q0").alias("median"))
+    one = cells.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), *over)
+    return one.crossJoin(F.broadcast(median))
 
 
 def prevalence(label: str | Column = "label") -> Column:

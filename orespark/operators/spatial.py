@@ -25,14 +25,15 @@ def bounds(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, dist) of all pairs within radius. Each left point meets the 3 x 3 cells around it, so the join is on
-    equal cells. left and right: id, x, y; points without a place meet none."""
+    """(left_id, right_id, dist) of all pairs within radius. Each point of the smaller side meets the 3 x 3 cells around it, so the
+    join is on equal cells. left and right: id, x, y; points without a place meet none."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.array(*[F.struct((cell("x") + i).alias("ci"), (cell("y") + j).alias("cj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.where("x is not null and y is not null").select(F.col(left_id).alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(around).alias("c")).select("l", "lx", "ly", "c.ci", "c.cj")
-    b = right.where("x is not null and y is not null").select(F.col(right_id).alias("r"), F.col("x").alias("rx"), F.col("y").alias("ry"), cell("x").alias("ci"), cell("y").alias("cj"))
+    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("ci"), (cell("y") + j).alias("cj")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a, b = (df.where("x is not null and y is not null").select(F.col(c).alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), "x", "y") for df, c, s in ((left, left_id, "l"), (right, right_id, "r")))
+    many = left.count() > right.count()
+    a, b = (df.withColumn("c", around if wide else F.struct(cell("x").alias("ci"), cell("y").alias("cj"))).drop("x", "y") for df, wide in ((a, not many), (b, many)))
     dist = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    return a.join(b, ["ci", "cj"]).where(dist <= radius).select(F.col("l").alias(left_id), F.col("r").alias(right_id), dist.alias("dist"))
+    return a.join(b, "c").where(dist <= radius).select(F.col("l").alias(left_id), F.col("r").alias(right_id), dist.alias("dist"))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, *, radius: float = NEAREST_M, left_id: str, right_id: str) -> DataFrame:

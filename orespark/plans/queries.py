@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BBOX, ENVELOPE, FOLDS, TRIALS
 from ..functions import columns as C
 from ..functions import crs
 from ..operators import dataset, explain, features, grid, metrics, models, potential, spatial
+from ..session import shared_dir
 from ..sources import files, sites
 from .carriers import BANDS, CELLS, LONLAT, MATRIX, META, POINTS, SAMPLES, SCORED, cells, embedded, extent, lonlat, matrix, points, samples, scored, table, two_bands
 
@@ -244,9 +245,11 @@ def buffer_membership(spark, d):
     return spatial.near_pairs(points(spark, d), samples(spark, d), 3000.0, "point_id", "sample_id").groupBy("sample_id").agg(F.count("*").alias("n_points"))
 
 
-@query()
+@query(f"""WITH {SAMPLES}, c AS (SELECT sample_id, i, round(x + 500 * cos(2 * pi() * (i % 32) / 32), 3) + 0.0 AS px, round(y + 500 * sin(2 * pi() * (i % 32) / 32), 3) + 0.0 AS py FROM samples, range(33) t(i))
+SELECT sample_id, 'POLYGON ((' || string_agg(px || ' ' || py, ', ' ORDER BY i) || '))' AS wkt, count(*) AS corners FROM c GROUP BY 1""")
 def buffer_polygons(spark, d):
-    return samples(spark, d).select("sample_id", C.buffer_wkt("x", "y", 500.0).alias("wkt"))
+    wkt = C.buffer_wkt("x", "y", 500.0)
+    return samples(spark, d).select("sample_id", wkt.alias("wkt"), F.size(F.split(wkt, ",")).cast("long").alias("corners"))
 
 
 # Grids
@@ -310,18 +313,12 @@ def tile_index(spark, d):
     return grid.with_tiles(cells(spark, d), 32).groupBy("tile_r", "tile_c").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"))
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT i AS cell_id, 300 + (i % 60) * 1500.0::DOUBLE AS x, 149600 - (i // 60) * 1300.0::DOUBLE AS y FROM range(3000) r(i)),
+@query(f"""WITH {CELLS}, g AS (SELECT ceil((max(col) + 1) * 1000 / 1500.0)::BIGINT AS across, ceil((max("row") + 1) * 1000 / 1300.0)::BIGINT AS down FROM cells),
+t AS (SELECT i AS cell_id, 300 + (i % across) * 1500.0::DOUBLE AS x, 149600 - (i // across) * 1300.0::DOUBLE AS y FROM (SELECT across, unnest(range(across * down)) AS i FROM g)),
 f AS (SELECT cell_id, (150000 - y) / 1000 - 0.5 AS fr, x / 1000 - 0.5 AS fc FROM t),
 k AS (SELECT cell_id, (floor(fr) + i)::INT AS "row", (floor(fc) + j)::INT AS col, CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w FROM f, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
 SELECT cell_id, 'tmi' AS band, round(sum(w * value) / sum(w) FILTER (value IS NOT NULL), 4) AS value FROM k JOIN cells USING ("row", col) WHERE w > 0 GROUP BY 1""")
 def raster_warp_bilinear(spark, d):
-    t = spark.range(3000).selectExpr("id AS cell_id", "300 + (id % 60) * 1500D AS x", "149600 - (id div 60) * 1300D AS y")
-    return grid.warp_bilinear(cells(spark, d), META, t).withColumn("value", F.round("value", 4))
-
-
-@query()
-def raster_warp_whole(spark, d):
-    """As raster_warp_bilinear, onto target cells over the whole raster."""
     c = cells(spark, d)
     at = extent(c)
     across, down = math.ceil(at.width * at.dx / 1500), math.ceil(at.height * at.dy / 1300)
@@ -344,30 +341,32 @@ def thg(spark, d):
     return rounded(potential.horizontal_gradient(cells(spark, d), 50.0).select("row", "col", potential.total_gradient("gx", "gy").alias("thg")), "thg")
 
 
-def _small(spark, d):
-    return cells(spark, d).where("row < 13 AND col < 16")
+def _turn(f, sign, by, size):
+    """cos or sin of a whole number of steps, by / size of a turn each, the steps taken modulo size."""
+    return f"{sign}{f}(2 * pi() * ({by} % {size}) / {size})"
 
 
-_TAU = "2 * pi()"
-_DFT = f"""{CELLS}, s AS (SELECT "row", col, value, coalesce(value, (SELECT avg(value) FROM cells WHERE "row" < 13 AND col < 16)) AS f FROM cells WHERE "row" < 13 AND col < 16),
-k AS (SELECT i AS ki, j AS kj, sqrt(pow({_TAU} * (CASE WHEN i < 8 THEN i ELSE i - 16 END) / 800, 2) + pow({_TAU} * (CASE WHEN j < 8 THEN j ELSE j - 16 END) / 800, 2)) AS k FROM range(16) a(i), range(16) b(j)),
-t AS (SELECT ki, kj, any_value(k) AS k, sum(f * cos({_TAU} * (ki * "row" + kj * col) / 16)) AS re, -sum(f * sin({_TAU} * (ki * "row" + kj * col) / 16)) AS im FROM k, s GROUP BY 1, 2),
-v AS (SELECT "row", col, any_value(value) AS value, sum(k * (re * cos({_TAU} * (ki * "row" + kj * col) / 16) - im * sin({_TAU} * (ki * "row" + kj * col) / 16))) / 256 AS fvd, sum(k * k * (re * cos({_TAU} * (ki * "row" + kj * col) / 16) - im * sin({_TAU} * (ki * "row" + kj * col) / 16))) / 256 AS svd FROM t, s GROUP BY 1, 2)"""
+#: A discrete Fourier transform of the whole raster, padded to powers of two, along rows, then columns, and back the same way.
+_DFT = f"""{CELLS}, z AS (SELECT pow(2, ceil(log2(max("row") + 1)))::INT AS n, pow(2, ceil(log2(max(col) + 1)))::INT AS m, avg(value) AS mean FROM cells),
+i AS (SELECT unnest(range(n)) AS ki FROM z), j AS (SELECT unnest(range(m)) AS kj FROM z),
+s AS (SELECT "row", col, value, coalesce(value, mean) AS f FROM cells, z),
+a AS (SELECT "row", kj, sum(f * {_turn('cos', '', '(kj * col)', 'm')}) AS re, sum(f * {_turn('sin', '-', '(kj * col)', 'm')}) AS im FROM s, z, j GROUP BY 1, 2),
+b AS (SELECT ki, kj, sum(re * {_turn('cos', '', '(ki * "row")', 'n')} + im * {_turn('sin', '', '(ki * "row")', 'n')}) AS re, sum(im * {_turn('cos', '', '(ki * "row")', 'n')} - re * {_turn('sin', '', '(ki * "row")', 'n')}) AS im FROM a, z, i GROUP BY 1, 2),
+k AS (SELECT ki, kj, re, im, sqrt(pow(2 * pi() * (CASE WHEN ki < n // 2 THEN ki ELSE ki - n END) / (n * 50), 2) + pow(2 * pi() * (CASE WHEN kj < m // 2 THEN kj ELSE kj - m END) / (m * 50), 2)) AS k FROM b, z),
+rows AS (SELECT DISTINCT "row" FROM cells), cols AS (SELECT DISTINCT col FROM cells),
+d AS (SELECT "row", kj, sum(k * (re * c - im * s)) AS r1, sum(k * (re * s + im * c)) AS i1, sum(k * k * (re * c - im * s)) AS r2, sum(k * k * (re * s + im * c)) AS i2
+  FROM (SELECT "row", kj, k, re, im, {_turn('cos', '', '(ki * "row")', 'n')} AS c, {_turn('sin', '', '(ki * "row")', 'n')} AS s FROM k, rows, z) GROUP BY 1, 2),
+w AS (SELECT "row", col, sum(r1 * c - i1 * s) AS fvd, sum(r2 * c - i2 * s) AS svd
+  FROM (SELECT "row", col, r1, i1, r2, i2, {_turn('cos', '', '(kj * col)', 'm')} AS c, {_turn('sin', '', '(kj * col)', 'm')} AS s FROM d, cols, z) GROUP BY 1, 2),
+v AS (SELECT "row", col, value, fvd / (n * m) AS fvd, svd / (n * m) AS svd FROM s JOIN w USING ("row", col), z)"""
 
 
-@query(f'WITH {_DFT} SELECT "row", col, CASE WHEN value IS NOT NULL THEN round(fvd, 4) + 0.0 END AS fvd, CASE WHEN value IS NOT NULL THEN round(svd, 6) + 0.0 END AS svd FROM v')
+@query(f'WITH {_DFT} SELECT "row", col, CASE WHEN value IS NOT NULL THEN round(fvd, 3) + 0.0 END AS fvd, CASE WHEN value IS NOT NULL THEN round(svd, 5) + 0.0 END AS svd FROM v')
 def vertical_derivatives_fft(spark, d):
-    v = potential.vertical_derivatives(_small(spark, d), 13, 16, 50.0, {"fvd": 1, "svd": 2})
-    return v.select("row", "col", (F.round("fvd", 4) + 0.0).alias("fvd"), (F.round("svd", 6) + 0.0).alias("svd"))
-
-
-@query()
-def vertical_derivatives_raster(spark, d):
-    """As vertical_derivatives_fft, over the whole raster."""
     c = cells(spark, d)
     at = extent(c)
     v = potential.vertical_derivatives(c, at.height, at.width, 50.0, {"fvd": 1, "svd": 2})
-    return v.select("row", "col", (F.round("fvd", 4) + 0.0).alias("fvd"), (F.round("svd", 6) + 0.0).alias("svd"))
+    return v.select("row", "col", (F.round("fvd", 3) + 0.0).alias("fvd"), (F.round("svd", 5) + 0.0).alias("svd"))
 
 
 def _edges(value, alias):
@@ -383,24 +382,17 @@ _W = 'WINDOW r AS (PARTITION BY "row" ORDER BY col), c AS (PARTITION BY col ORDE
 _GX, _GY = _grad_case("z", "1")
 _TX, _TY = _grad_case("tz", "2")
 _ALL = f"""{_DFT}, h AS (SELECT *, coalesce(value, 0) AS z, {_edges("coalesce(value, 0)", "1")} FROM v {_W}),
-i AS (SELECT "row", col, value, fvd, svd, sqrt(pow({_GX}, 2) + pow({_GY}, 2) + 1e-10) AS thg FROM h),
-j AS (SELECT *, sqrt(thg * thg + fvd * fvd + 1e-10) AS "as", CASE WHEN value IS NOT NULL THEN atan2(fvd, thg + 1e-10) END AS tdr FROM i),
-q AS (SELECT *, coalesce(tdr, 0) AS tz, {_edges("coalesce(tdr, 0)", "2")} FROM j {_W})"""
+t AS (SELECT "row", col, value, fvd, svd, sqrt(pow({_GX}, 2) + pow({_GY}, 2) + 1e-10) AS thg FROM h),
+u AS (SELECT *, sqrt(thg * thg + fvd * fvd + 1e-10) AS "as", CASE WHEN value IS NOT NULL THEN atan2(fvd, thg + 1e-10) END AS tdr FROM t),
+q AS (SELECT *, coalesce(tdr, 0) AS tz, {_edges("coalesce(tdr, 0)", "2")} FROM u {_W})"""
 
 
-@query(f'WITH {_ALL} SELECT "row", col, round(thg, 5) + 0.0 AS thg, round("as", 5) + 0.0 AS "as", round(tdr, 6) + 0.0 AS tdr, round(sqrt(pow({_TX}, 2) + pow({_TY}, 2) + 1e-10), 6) + 0.0 AS thdr FROM q WHERE value IS NOT NULL')
+@query(f'WITH {_ALL} SELECT "row", col, round(thg, 4) + 0.0 AS thg, round("as", 3) + 0.0 AS "as", round(tdr, 6) + 0.0 AS tdr, round(sqrt(pow({_TX}, 2) + pow({_TY}, 2) + 1e-10), 6) + 0.0 AS thdr FROM q WHERE value IS NOT NULL')
 def all_derivatives(spark, d):
-    a = potential.all_derivatives(_small(spark, d), 13, 16, 50.0).where("value IS NOT NULL")
-    return a.select("row", "col", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("thg", 5), ("as", 5), ("tdr", 6), ("thdr", 6))])
-
-
-@query()
-def all_derivatives_raster(spark, d):
-    """As all_derivatives, over the whole raster."""
     c = cells(spark, d)
     at = extent(c)
     a = potential.all_derivatives(c, at.height, at.width, 50.0).where("value IS NOT NULL")
-    return a.select("row", "col", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("thg", 5), ("as", 5), ("tdr", 6), ("thdr", 6))])
+    return a.select("row", "col", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("thg", 4), ("as", 3), ("tdr", 6), ("thdr", 6))])
 
 
 # Folds and oversampling
@@ -418,8 +410,7 @@ def spatial_grid_folds(spark, d):
 
 @query("SELECT (row_number() OVER (ORDER BY p_partkey) - 1) AS pos, p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) % 5)::INT AS fold FROM part")
 def round_robin_folds(spark, d):
-    numbered = table(spark, d, "part").select("p_partkey").withColumn("pos", (F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("long"))
-    return dataset.round_robin_folds(numbered, "pos").select("pos", "p_partkey", "fold")
+    return dataset.round_robin_folds(dataset.numbered(table(spark, d, "part").select("p_partkey"), "p_partkey", "pos"), "pos").select("pos", "p_partkey", "fold")
 
 
 @query("WITH t AS (SELECT p_partkey, (p_partkey % 5)::INT AS fold, p_partkey % 11 = 0 AS syn FROM part) SELECT f::INT AS test_fold, count(*) FILTER (fold <> f OR syn) AS n_train, count(*) FILTER (fold = f AND NOT syn) AS n_test FROM t, range(5) r(f) GROUP BY 1")
@@ -616,9 +607,17 @@ def feature_matrix(spark, d) -> DataFrame:
     return features.engineer(series, series=["line"], order="point_id")
 
 
-@query()
+_MATRIX = f"""{BANDS}, {POINTS}, {SAMPLES}, {_CELL}, {_NEAR.format(10000)},
+w AS (SELECT point_id, max(value) FILTER (band = 'tmi') AS mag_tmi, max(value) FILTER (band = 'rad_k') AS rad_k FROM pt LEFT JOIN bands USING ("row", col) GROUP BY 1),
+m AS (SELECT p.point_id, mag_tmi, rad_k, s.zn_ppm, floor(p.y / 10000) AS line, coalesce(mag_tmi, 0) AS t FROM points p JOIN w USING (point_id) LEFT JOIN near n ON n.point_id = p.point_id AND r = 1 LEFT JOIN samples s ON s.sample_id = n.sample_id),
+l AS (SELECT *, lag(t) OVER o AS b, lead(t) OVER o AS f FROM m WINDOW o AS (PARTITION BY line ORDER BY point_id)),
+g AS (SELECT *, CASE WHEN b IS NULL AND f IS NULL THEN 0 WHEN b IS NULL THEN f - t WHEN f IS NULL THEN t - b ELSE (f - b) / 2 END AS g FROM l), x AS (SELECT avg(zn_ppm) AS a, stddev_samp(zn_ppm) AS d FROM g)"""
+
+
+@query(f"""WITH {_MATRIX} SELECT point_id, mag_tmi, rad_k, zn_ppm, {R.format('sqrt(g * g + 1e-12 + 1e-6)')} AS mag_hgm, {R.format('sqrt(2 * g * g + 1e-12 + 1e-6)')} AS mag_as, {R.format('coalesce(rad_k, 0) / 1e-6')} AS rad_k_th,
+CASE WHEN zn_ppm IS NOT NULL THEN {R.format('log10(greatest(zn_ppm, 1e-6))')} END AS log_zn_ppm, {R.format('coalesce((zn_ppm - a) / (d + 1e-6), 0) / 6')} AS geochem_meas FROM g, x""")
 def feature_matrix_full(spark, d):
-    return rounded(feature_matrix(spark, d).select("point_id", "mag_tmi", "rad_k", "zn_ppm", "mag_hgm", "mag_as", "rad_k_th", "log_zn_ppm", "geochem_meas"), "mag_hgm", "mag_as", "log_zn_ppm", "geochem_meas")
+    return rounded(feature_matrix(spark, d).select("point_id", "mag_tmi", "rad_k", "zn_ppm", "mag_hgm", "mag_as", "rad_k_th", "log_zn_ppm", "geochem_meas"), "mag_hgm", "mag_as", "rad_k_th", "log_zn_ppm", "geochem_meas")
 
 
 _FOREST = {"numTrees": 20, "maxDepth": 5}
@@ -658,13 +657,8 @@ def grid_scoring(spark, d):
 
 
 def _shap(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="orespark-")
     data = embedded(spark, d)
-    return data, explain.shap_values(models.fit(data, "rf", numTrees=10, maxDepth=4), data, _NAMES, base.rstrip("/"))
+    return data, explain.shap_values(models.fit(data, "rf", numTrees=10, maxDepth=4), data, _NAMES, shared_dir(spark))
 
 
 @query()
@@ -684,9 +678,10 @@ def shap_dependence(spark, d):
     return explain.long_form(shap, data, _NAMES).where(F.col("feature").isin(top))
 
 
-@query()
+@query(f"SELECT 47.25::DOUBLE + (o_orderkey * 7919 % 6000) / 10000 AS lat, -66.7::DOUBLE + (o_orderkey * 104729 % 13000) / 10000 AS lon, {_PROB} AS intensity FROM orders")
 def heat_points(spark, d):
     c = table(spark, d, "orders").selectExpr("47.25D + (o_orderkey * 7919 % 6000) / 10000 AS lat", "-66.7D + (o_orderkey * 104729 % 13000) / 10000 AS lon", f"{_PROB} AS p")
-    return files.heat_points(c, "lat", "lon", "p")
+    point = F.col("point")
+    return files.heat_points(c, "lat", "lon", "p").select(point[0].alias("lat"), point[1].alias("lon"), point[2].alias("intensity"))
 
 
