@@ -89,4 +89,8 @@ def available(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lower().strip() for c in df.columns])
+    """df with its columns' names in lower case, without white space around them; two that become one are an error."""
+    names = [c.lower().strip() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns share a name: {sorted(c for c in set(names) if names.count(c) > 1)}")
+    return df.toDF(*names)

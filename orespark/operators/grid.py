@@ -69,7 +69,8 @@ def reproject(cells: DataFrame, source: GridMeta, target: GridMeta) -> DataFrame
     spark = cells.sparkSession
     at = build_grid(spark, target)
     lon, lat = to_lonlat("x", "y")
-    warped = warp_bilinear(cells, source, at.select("cell_id", lon.alias("x"), lat.alias("y")))
+    back = at.select("cell_id", lon.alias("lon"), lat.alias("lat")).withColumnsRenamed({"lon": "x", "lat": "y"})
+    warped = warp_bilinear(cells, source, back)
     return warped.select("band", F.expr(f"int(cell_id div {target.width})").alias("row"), F.expr(f"int(cell_id % {target.width})").alias("col"), "value")
 
 

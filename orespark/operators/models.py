@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import warnings
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEED
-from .dataset import split
+from .dataset import aligned, impute, medians, split
 from .metrics import fold_metrics, summary
 
 #: Spaces that are searched (fixed values): name -> (kind, low, high) or a list of choices.
@@ -45,15 +48,25 @@ def score(model, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, kind: str, folds: int, **params) -> DataFrame:
-    """model, fold, row_id, label, score of every real row, by the model that has not seen its fold."""
-    out = None
-    for k in range(folds):
+    """model, fold, row_id, label, score of every real row, by the model that has not seen its fold; the score is NULL, and a warning
+    says so, where the other folds have one class only. The folds are fitted side by side."""
+    sizes = {(r.fold, r.label, r.is_synthetic): r["count"] for r in df.groupBy("fold", "label", "is_synthetic").count().collect()}
+
+    def scored(k):
         train, test = split(df, k)
-        if train.select("label").distinct().count() < 2 or test.isEmpty():
-            continue
-        got = score(fit(train, kind, **params), test, ["fold", "row_id", "label"]).withColumn("model", F.lit(kind))
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else df.sparkSession.createDataFrame([], "fold int, row_id long, label int, score double, model string")
+        if not any(f == k and not made for f, _, made in sizes):
+            return None
+        if len({label for f, label, made in sizes if f != k or made}) < 2:
+            warnings.warn(f"fold {k} is not scored: the others have one class only", stacklevel=3)
+            return test.select("fold", "row_id", "label", F.lit(None).cast("double").alias("score"))
+        return score(fit(train, kind, **params), test, ["fold", "row_id", "label"])
+
+    with ThreadPoolExecutor(max(1, folds)) as pool:
+        parts = [p for p in pool.map(scored, range(folds)) if p is not None]
+    out = df.sparkSession.createDataFrame([], "fold int, row_id long, label int, score double")
+    for p in parts:
+        out = out.unionByName(p)
+    return out.withColumn("model", F.lit(kind))
 
 
 def importances(model, names: list[str], kind: str) -> DataFrame:
@@ -91,17 +104,67 @@ def _near(rng: random.Random, spec, good: list, bad: list, draws: int = 24):
     return round(x) if kind == "int" else math.exp(x) if kind == "log" else x
 
 
-def search(df: DataFrame, kind: str, folds: int, trials: int, space: dict | None = None, start: int = 10) -> DataFrame:
-    """trial, params, roc_auc_mean: random trials first, then around the best quarter. Each trial is a cross-validation of its own."""
+def search(df: DataFrame, kind: str, folds: int, trials: int, space: dict | None = None, start: int = 10, at_once: int = 5) -> DataFrame:
+    """trial, params, roc_auc_mean: random trials first, then around the best quarter of those before. Each trial is a
+    cross-validation of its own; ``at_once`` of them are drawn from the same history and run side by side."""
     space = space or (FOREST_SPACE if kind == "rf" else BOOSTED_SPACE)
     rng, done = random.Random(SEED), []
-    for t in range(trials):
-        if t < start:
-            params = {k: _draw(rng, s) for k, s in space.items()}
-        else:
-            ranked = sorted(done, key=lambda x: -x[1])
-            cut = max(1, len(ranked) // 4)
-            params = {k: _near(rng, s, [p[k] for p, _ in ranked[:cut]], [p[k] for p, _ in ranked[cut:]]) for k, s in space.items()}
+
+    def tried(params):
         row = summary(fold_metrics(out_of_fold(df, kind, folds, **params))).first()
-        done.append((params, float(row.roc_auc_mean) if row and row.roc_auc_mean is not None else 0.0))
+        return params, float(row.roc_auc_mean) if row and row.roc_auc_mean is not None else 0.0
+
+    def drawn():
+        if len(done) < start:
+            return {k: _draw(rng, s) for k, s in space.items()}
+        ranked = sorted(done, key=lambda x: -x[1])
+        cut = max(1, len(ranked) // 4)
+        return {k: _near(rng, s, [p[k] for p, _ in ranked[:cut]], [p[k] for p, _ in ranked[cut:]]) for k, s in space.items()}
+
+    with ThreadPoolExecutor(at_once) as pool:
+        while len(done) < trials:
+            done += pool.map(tried, [drawn() for _ in range(min(at_once, trials - len(done)))])
     return df.sparkSession.createDataFrame([(i, str(dict(sorted(p.items()))), v) for i, (p, v) in enumerate(done)], "trial int, params string, roc_auc_mean double")
+
+
+@dataclass
+class Bundle:
+    """A model, the features that it was trained with, in their order, and what fills each where it is missing."""
+
+    kind: str
+    model: object
+    features: list[str]
+    medians: DataFrame
+
+    def prepared(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """keep and features, as the model takes them: all of them, in order, the missing ones filled."""
+        whole = impute(aligned(df, self.features, keep), self.features, self.medians)
+        return whole.select(*keep, F.array(*self.features).alias("features"))
+
+    def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        return score(self.model, self.prepared(df, keep), keep)
+
+    def save(self, folder: str) -> None:
+        self.model.write().overwrite().save(f"{folder}/model")
+        spark = self.medians.sparkSession
+        row = self.medians.first()
+        rows = [(i, c, float(row[c]) if row[c] is not None else None, self.kind) for i, c in enumerate(self.features)]
+        spark.createDataFrame(rows, "pos int, feature string, median double, kind string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/transforms")
+
+
+def load(spark, folder: str) -> Bundle:
+    """A saved bundle."""
+    rows = sorted(spark.read.parquet(f"{folder}/transforms").collect())
+    kind, names = rows[0].kind, [r.feature for r in rows]
+    cls = RandomForestClassificationModel if kind == "rf" else GBTClassificationModel
+    filled = spark.createDataFrame([tuple(r.median for r in rows)], ", ".join(f"`{c}` double" for c in names))
+    return Bundle(kind, cls.load(f"{folder}/model"), names, filled)
+
+
+def train(rows: DataFrame, features: list[str], kind: str, **params) -> Bundle:
+    """Fit on labelled rows (features, label); missing features are filled by their medians, those without any value by 0."""
+    whole = aligned(rows, features, ["label"])
+    found = medians(whole, features).fillna(0.0)
+    bundle = Bundle(kind, None, features, found)
+    bundle.model = fit(bundle.prepared(whole, ["label"]), kind, **params)
+    return bundle

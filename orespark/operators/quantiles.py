@@ -23,7 +23,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float])
         for f in fractions:
             for rank in {math.floor(f * (r["_n"] - 1)), math.ceil(f * (r["_n"] - 1))} if r["_n"] else ():
                 ranks[g, rank] = {"lo": r["_lo"], "hi": r["_hi"], "below": 0, "rows": r["_n"]}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["g int, rank long, lo double, hi double"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["_g int, _rank long, _from double, _to double"])
 
     def inside(wanted):
         """The values of each wanted rank's range."""
@@ -31,19 +31,22 @@ def quantiles(df: DataFrame, by: list[str], value: str, fractions: list[float])
         same = F.lit(True)
         for c in by:
             same = same & rows[c].eqNullSafe(ends[c])
-        return rows.join(F.broadcast(ends), same & F.col("_v").between(F.col("lo"), F.col("hi"))).select("g", "rank", "lo", "hi", "_v")
+        return rows.join(F.broadcast(ends), same & F.col("_v").between(F.col("_from"), F.col("_to"))).select("_g", "_rank", "_from", "_to", "_v")
 
     while wanted := {k: t for k, t in ranks.items() if t["lo"] < t["hi"] and t["rows"] > FEW}:
-        part = F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS))
-        counted = inside(wanted).groupBy("g", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-        for (g, rank), t in wanted.items():
-            for r in sorted((r for r in counted if (r["g"], r["rank"]) == (g, rank)), key=lambda r: r["part"]):
-                if rank < t["below"] + r["n"]:
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS))
+        counted = inside(wanted).groupBy("_g", "_rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+        before = {k: dict(t) for k, t in wanted.items()}
+        for key, t in wanted.items():
+            for r in sorted((r for r in counted if (r["_g"], r["_rank"]) == key), key=lambda r: r["part"]):
+                if key[1] < t["below"] + r["n"]:
                     t |= {"lo": r["lo"], "hi": r["hi"], "rows": r["n"]}
                     break
                 t["below"] += r["n"]
+        if before == wanted:  # values so far apart that their difference is no number: read out as they are
+            break
     wanted = {k: t for k, t in ranks.items() if t["lo"] < t["hi"]}
-    few = {(r["g"], r["rank"]): sorted(r["x"]) for r in inside(wanted).groupBy("g", "rank").agg(F.collect_list("_v").alias("x")).collect()} if wanted else {}
+    few = {(r["_g"], r["_rank"]): sorted(r["x"]) for r in inside(wanted).groupBy("_g", "_rank").agg(F.collect_list("_v").alias("x")).collect()} if wanted else {}
     found = {k: few[k][k[1] - t["below"]] if k in few else t["lo"] for k, t in ranks.items()}
 
     def at(g, f):

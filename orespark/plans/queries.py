@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -599,12 +600,16 @@ def envelope_filter(spark, d):
 # The whole matrix, models, explanations
 
 
+def features_at(spark, d, places, place_id, line, order) -> DataFrame:
+    """places (id, x, y) with sampled bands, the nearest assay and all engineered columns: the same for training and scoring.
+    Gradients run along ``order`` in each line."""
+    p = grid.sample_wide(places, two_bands(spark, d), META, place_id, ["tmi", "rad_k"]).withColumnRenamed("tmi", "mag_tmi")
+    p = spatial.nearest_join(p, samples(spark, d), radius=10000.0, left_id=place_id, right_id="sample_id").join(samples(spark, d).select("sample_id", "zn_ppm"), "sample_id", "left")
+    return features.engineer(p.withColumn("line", line), series=["line"], order=order)
+
+
 def feature_matrix(spark, d) -> DataFrame:
-    """Labelled points with sampled bands, the nearest assay and all engineered columns."""
-    p = grid.sample_wide(points(spark, d), two_bands(spark, d), META, "point_id", ["tmi", "rad_k"]).withColumnRenamed("tmi", "mag_tmi")
-    p = spatial.nearest_join(p, samples(spark, d), radius=10000.0, left_id="point_id", right_id="sample_id").join(samples(spark, d).select("sample_id", "zn_ppm"), "sample_id", "left")
-    series = p.withColumn("line", F.floor(F.col("y") / 10000))
-    return features.engineer(series, series=["line"], order="point_id")
+    return features_at(spark, d, points(spark, d), "point_id", F.floor(F.col("y") / 10000), "point_id")
 
 
 _MATRIX = f"""{BANDS}, {POINTS}, {SAMPLES}, {_CELL}, {_NEAR.format(10000)},
@@ -644,16 +649,34 @@ def hpo_trials(spark, d):
     return models.search(embedded(spark, d), "rf", FOLDS, TRIALS)
 
 
+#: Features that the fixture tables can give.
+TRAINED = ["mag_tmi", "rad_k", "zn_ppm", "mag_hgm", "mag_as", "rad_k_th", "log_zn_ppm", "geochem_meas"]
+
+
+def study_grid(spark, d) -> DataFrame:
+    """The centres of the raster's cells."""
+    return grid.build_grid(spark, extent(two_bands(spark, d)))
+
+
+def grid_features_at(spark, d) -> DataFrame:
+    g = study_grid(spark, d)
+    return features_at(spark, d, g.drop("row", "col"), "cell_id", F.expr("cell_id div 100"), "cell_id")
+
+
+def trained(spark, d, kind="rf", **params) -> models.Bundle:
+    """A model of the labelled points, saved and loaded again."""
+    rows = dataset.labelled(feature_matrix(spark, d).withColumn("label", (F.col("point_id") % 7 == 0).cast("int")))
+    folder = f"{shared_dir(spark)}/orespark/{uuid.uuid4().hex}"
+    models.train(rows, TRAINED, kind, **params).save(folder)
+    return models.load(spark, folder)
+
+
 @query()
 def grid_scoring(spark, d):
-    """Every cell of the study grid at 1 km, with the features that a model was trained on, scored and summed up."""
-    train = feature_matrix(spark, d).select(F.col("point_id").alias("row_id"), F.array(F.coalesce("mag_tmi", F.lit(0.0)), F.coalesce("rad_k", F.lit(0.0))).alias("features"), (F.col("point_id") % 7 == 0).cast("int").alias("label"))
-    model = models.fit(train, "rf", numTrees=10, maxDepth=4)
-    bands = two_bands(spark, d)
-    target = grid.build_grid(spark, extent(bands))
-    sampled = grid.sample_wide(target.drop("row", "col"), bands, META, "cell_id", ["tmi", "rad_k"])
-    cells_ = sampled.select("cell_id", "x", "y", F.array(F.coalesce("tmi", F.lit(0.0)), F.coalesce("rad_k", F.lit(0.0))).alias("features"))
-    return models.score(model, cells_, ["cell_id", "x", "y"]).withColumn("class", C.legend_class("score"))
+    """Every cell of the raster, with the engineered features that a model was trained on, missing ones filled as then, scored and
+    classed by the legend."""
+    bundle = trained(spark, d, numTrees=10, maxDepth=4)
+    return bundle.score(grid_features_at(spark, d), ["cell_id", "x", "y"]).withColumn("class", C.legend_class("score"))
 
 
 def _shap(spark, d):
@@ -685,3 +708,4 @@ def heat_points(spark, d):
     return files.heat_points(c, "lat", "lon", "p").select(point[0].alias("lat"), point[1].alias("lon"), point[2].alias("intensity"))
 
 
+from . import workflows  # noqa: E402, F401  (registers its queries)

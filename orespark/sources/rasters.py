@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
+import pickle
 import struct
+import uuid
 import zlib
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NODATA, TILE, GridMeta
+from ..session import shared_dir
+from .files import write_bytes
 
 CELLS = "path string, row int, col int, value double"
 
@@ -30,9 +35,12 @@ def parse_ascii(text: str) -> tuple[GridMeta, np.ndarray]:
     return meta, np.where(grid == meta.nodata, np.nan, grid)
 
 
+def ascii_head(meta: GridMeta) -> str:
+    return f"ncols {meta.width}\nnrows {meta.height}\nxllcorner {meta.x0!r}\nyllcorner {meta.y0 - meta.height * meta.dy!r}\ncellsize {meta.dx!r}\nNODATA_value {meta.nodata!r}\n"
+
+
 def format_ascii(meta: GridMeta, grid: np.ndarray) -> str:
-    head = f"ncols {meta.width}\nnrows {meta.height}\nxllcorner {meta.x0!r}\nyllcorner {meta.y0 - meta.height * meta.dy!r}\ncellsize {meta.dx!r}\nNODATA_value {meta.nodata!r}\n"
-    return head + "\n".join(" ".join(repr(float(v)) for v in row) for row in np.where(np.isnan(grid), meta.nodata, grid)) + "\n"
+    return ascii_head(meta) + "\n".join(" ".join(repr(float(v)) for v in row) for row in np.where(np.isnan(grid), meta.nodata, grid)) + "\n"
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -102,8 +110,32 @@ _TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12:
 _UNPACK = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress}
 
 
-def read_tiff(data: bytes) -> tuple[GridMeta, np.ndarray, dict]:
-    """The first band, its place, and the text of its description tag as a dict."""
+@dataclass
+class Layout:
+    """What a GeoTIFF's directory says: its place, how cells are stored, and where each block of them is."""
+
+    meta: GridMeta
+    codec: int
+    dtype: str
+    tile: tuple[int, int]
+    blocks: list[tuple[int, int]]
+    text: str
+
+    def place(self, k: int) -> tuple[int, int]:
+        """The row and column that block k begins at."""
+        across = -(-self.meta.width // self.tile[1])
+        return k // across * self.tile[0], k % across * self.tile[1]
+
+    def decode(self, k: int, data: bytes) -> np.ndarray:
+        """The cells of block k that lie in the raster, NaN where there is no value."""
+        r, c = self.place(k)
+        th, tw = self.tile
+        block = np.frombuffer(_UNPACK[self.codec](data), self.dtype).astype(float)
+        block = block[: len(block) // tw * tw].reshape(-1, tw)[: min(th, self.meta.height - r), : self.meta.width - c]
+        return np.where(block == self.meta.nodata, np.nan, block)
+
+
+def layout(data: bytes) -> Layout:
     end = "<" if data[:2] == b"II" else ">"
     at = struct.unpack(end + "I", data[4:8])[0]
     tags = {}
@@ -117,47 +149,54 @@ def read_tiff(data: bytes) -> tuple[GridMeta, np.ndarray, dict]:
             place = struct.unpack(end + "I", data[place : place + 4])[0]
         raw = data[place : place + size * count]
         tags[tag] = raw.rstrip(b"\0").decode("utf-8", "replace") if kind == 2 else struct.unpack(f"{end}{count}{code}", raw)
-    w, h, codec = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
+    w, h = tags[256][0], tags[257][0]
     dtype = {(32, 3): "f4", (64, 3): "f8", (16, 2): "i2", (16, 1): "u2", (32, 2): "i4", (8, 1): "u1"}[tags[258][0], tags.get(339, (1,))[0]]
-    tiled = 324 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (w, tags.get(278, (h,))[0])
-    offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across = -(-w // tw)
-    grid = np.full((-(-h // th) * th, across * tw), np.nan)
-    for k, (o, n) in enumerate(zip(offsets, counts)):
-        block = np.frombuffer(_UNPACK[codec](data[o : o + n]), end + dtype)
-        block = block[: len(block) // tw * tw].reshape(-1, tw)
-        r, c = k // across * th, k % across * tw
-        grid[r : r + len(block), c : c + tw] = block
-    grid = grid[:h, :w]
-    nodata = float(tags[42113]) if 42113 in tags else NODATA
+    tile, offsets, counts = ((tags[323][0], tags[322][0]), tags[324], tags[325]) if 324 in tags else ((tags.get(278, (h,))[0], w), tags[273], tags[279])
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    meta = GridMeta(tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], scale[1], w, h, nodata=nodata)
-    text = tags.get(270, "")
-    return meta, np.where(grid == nodata, np.nan, grid), json.loads(text) if text.startswith("{") else {}
+    meta = GridMeta(tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], scale[1], w, h, nodata=float(tags[42113]) if 42113 in tags else NODATA)
+    return Layout(meta, tags.get(259, (1,))[0], end + dtype, tile, list(zip(offsets, counts)), tags.get(270, ""))
+
+
+def read_tiff(data: bytes) -> tuple[GridMeta, np.ndarray, dict]:
+    """The first band, its place, and the text of its description tag as a dict."""
+    said = layout(data)
+    grid = np.full((said.meta.height, said.meta.width), np.nan)
+    for k, (o, n) in enumerate(said.blocks):
+        r, c = said.place(k)
+        block = said.decode(k, data[o : o + n])
+        grid[r : r + block.shape[0], c : c + block.shape[1]] = block
+    return said.meta, grid, json.loads(said.text) if said.text.startswith("{") else {}
 
 
 def write_tiff(meta: GridMeta, grid: np.ndarray, tags: dict | None = None, epsg: int = 2953, compress: bool = True) -> bytes:
     """A tiled float32 GeoTIFF, LZW-compressed; missing cells get the nodata value, tags go into the description as JSON."""
-    full = np.where(np.isnan(grid), meta.nodata, grid).astype("<f4")
     down, across = -(-meta.height // TILE), -(-meta.width // TILE)
-    wide = np.full((down * TILE, across * TILE), meta.nodata, "<f4")
-    wide[: meta.height, : meta.width] = full
-    blocks = [wide[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE].tobytes() for r in range(down) for c in range(across)]
-    blocks = [lzw_encode(b) for b in blocks] if compress else blocks
+    wide = np.full((down * TILE, across * TILE), np.nan)
+    wide[: meta.height, : meta.width] = grid
+    blocks = [pack_tile(wide[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE], meta.nodata, compress) for r in range(down) for c in range(across)]
+    return tiff_head(meta, [len(b) for b in blocks], tags, epsg, compress) + b"".join(blocks)
+
+
+def pack_tile(tile: np.ndarray, nodata: float, compress: bool = True) -> bytes:
+    data = np.where(np.isnan(tile), nodata, tile).astype("<f4").tobytes()
+    return lzw_encode(data) if compress else data
+
+
+def tiff_head(meta: GridMeta, sizes: list[int], tags: dict | None, epsg: int, compress: bool) -> bytes:
+    """All that stands before the tiles, which follow row by row in these sizes."""
     nodata = f"{meta.nodata:g}".encode() + b"\0"
     keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
     fields = [
         (256, 4, (meta.width,)), (257, 4, (meta.height,)), (258, 3, (32,)), (259, 3, (5 if compress else 1,)), (262, 3, (1,)),
         (270, 2, json.dumps(tags or {}, sort_keys=True).encode() + b"\0"), (277, 3, (1,)), (322, 3, (TILE,)), (323, 3, (TILE,)),
-        (324, 4, None), (325, 4, tuple(len(b) for b in blocks)), (339, 3, (3,)), (33550, 12, (meta.dx, meta.dy, 0.0)),
+        (324, 4, None), (325, 4, tuple(sizes)), (339, 3, (3,)), (33550, 12, (meta.dx, meta.dy, 0.0)),
         (33922, 12, (0.0, 0.0, 0.0, meta.x0, meta.y0, 0.0)), (34735, 3, keys), (42113, 2, nodata),
     ]
     start = 8 + 2 + 12 * len(fields) + 4
     for _ in range(2):  # the first time to learn where the blocks begin
         directory, extra = struct.pack("<H", len(fields)), b""
         for tag, kind, values in fields:
-            values = values if values is not None else (0,) * len(blocks)
+            values = values if values is not None else (0,) * len(sizes)
             raw = values if kind == 2 else struct.pack(f"<{len(values)}{_TYPES[kind][1]}", *values)
             directory += struct.pack("<HHI", tag, kind, len(values))
             if len(raw) <= 4:
@@ -166,34 +205,93 @@ def write_tiff(meta: GridMeta, grid: np.ndarray, tags: dict | None = None, epsg:
                 directory += struct.pack("<I", start + len(extra))
                 extra += raw + b"\0" * (len(raw) % 2)
         first = start + len(extra)
-        offsets = tuple(first + sum(len(b) for b in blocks[:k]) for k in range(len(blocks)))
+        offsets = tuple(first + at for at in accumulate([0, *sizes[:-1]]))
         fields = [(t, k, offsets if t == 324 else v) for t, k, v in fields]
-    return b"II*\0" + struct.pack("<I", 8) + directory + struct.pack("<I", 0) + extra + b"".join(blocks)
+    return b"II*\0" + struct.pack("<I", 8) + directory + struct.pack("<I", 0) + extra
 
 
 def read_rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """path, row, col, value of every raster file in a folder, a task for each file; missing cells are NULL."""
+    """path, row, col, value of every raster file in a folder; missing cells are NULL. A file's directory tells where its tiles are;
+    these are dealt out and decoded by a task each. An ASCII grid is one tile. A file is read whole by one task to be cut."""
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(asc|grd|tif|tiff)$")).select("path", "content")
 
-    def run(batches):
+    def cut(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 content = bytes(content)
-                _, grid = read_tiff(content)[:2] if path.lower().endswith((".tif", ".tiff")) else parse_ascii(content.decode())
-                for r, values in enumerate(grid):
-                    yield pd.DataFrame({"path": path, "row": r, "col": np.arange(len(values)), "value": values})
-
-    out = files.repartition(F.col("path")).mapInPandas(run, CELLS)
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
-def write_raster(cells: DataFrame, meta: GridMeta, path: str, tags: dict | None = None) -> None:
-    """One file of a band (row, col, value), for export: its cells pass the driver row by row, so a file is as large as one
-    machine takes; larger grids stay tables, cut into tiles."""
-    grid = np.full((meta.height, meta.width), np.nan)
-    for r in cells.where("value is not null").select("row", "col", "value").toLocalIterator():
-        grid[r.row, r.col] = r.value
-    data = format_ascii(meta, grid).encode() if path.endswith(".asc") else write_tiff(meta, grid, tags)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "wb") as f:
-        f.write(data)
+                if path.lower().endswith((".tif", ".tiff")):
+                    said = layout(content)
+                    for k, (o, n) in enumerate(said.blocks):
+                        yield pd.DataFrame({"path": [path], "k": [k], "layout": [pickle.dumps((vars(said.meta), said.codec, said.dtype, said.tile))], "data": [content[o : o + n]]})
+                else:
+                    yield pd.DataFrame({"path": [path], "k": [0], "layout": [b""], "data": [content]})
+
+    def decode(batches):
+        for pdf in batches:
+            for path, k, said, data in zip(pdf["path"], pdf["k"], pdf["layout"], pdf["data"]):
+                if len(said):
+                    meta, *stored = pickle.loads(bytes(said))
+                    said = Layout(GridMeta(**meta), *stored, [], "")
+                    (r, c), grid = said.place(k), said.decode(k, bytes(data))
+                else:
+                    r, c, grid = 0, 0, parse_ascii(bytes(data).decode())[1]
+                for i, values in enumerate(grid):
+                    yield pd.DataFrame({"path": path, "row": r + i, "col": np.arange(c, c + len(values)), "value": values})
+
+    tiles = files.mapInPandas(cut, "path string, k int, layout binary, data binary").repartition("path", "k")
+    return tiles.mapInPandas(decode, CELLS).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def write_raster(cells: DataFrame, meta: GridMeta, path: str, tags: dict | None = None, epsg: int = 2953) -> None:
+    """One file of a band (row, col, value). Tiles are packed by a task each and pass the driver one after the other; lines of an
+    ASCII grid likewise."""
+    spark = cells.sparkSession
+    held = cells.where("value is not null").where(f"row >= 0 and col >= 0 and row < {meta.height} and col < {meta.width}").select("row", "col", "value")
+    if path.endswith(".asc"):
+        def line(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = np.full(meta.width, meta.nodata)
+            out[pdf["col"]] = pdf["value"]
+            return pd.DataFrame({"row": [int(pdf["row"].iloc[0])], "line": [" ".join(repr(float(v)) for v in out)]})
+
+        made = held.groupBy("row").applyInPandas(line, "row int, line string").orderBy("row")
+        empty = (" ".join([repr(float(meta.nodata))] * meta.width) + "\n").encode()
+
+        def parts():
+            yield ascii_head(meta).encode()
+            at = 0
+            for r in made.toLocalIterator():
+                yield empty * (r.row - at) + r.line.encode() + b"\n"
+                at = r.row + 1
+            yield empty * (meta.height - at)
+
+        write_bytes(spark, path, parts())
+        return
+    across, down = -(-meta.width // TILE), -(-meta.height // TILE)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["k"].iloc[0])
+        tile = np.full((TILE, TILE), np.nan)
+        tile[pdf["row"] % TILE, pdf["col"] % TILE] = pdf["value"]
+        return pd.DataFrame({"k": [k], "data": [pack_tile(tile, meta.nodata)]})
+
+    made = held.withColumn("k", F.expr(f"int(row div {TILE} * {across} + col div {TILE})")).groupBy("k").applyInPandas(pack, "k int, data binary")
+    with_all = spark.read.schema("k int, data binary").parquet(_kept(made))
+    blank = pack_tile(np.full((TILE, TILE), np.nan), meta.nodata)
+    sizes = {r.k: r.n for r in with_all.select("k", F.length("data").alias("n")).collect()}
+
+    def parts():
+        yield tiff_head(meta, [sizes.get(k, len(blank)) for k in range(across * down)], tags, epsg, True)
+        at = 0
+        for r in with_all.orderBy("k").toLocalIterator():
+            yield blank * (r.k - at) + bytes(r.data)
+            at = r.k + 1
+        yield blank * (across * down - at)
+
+    write_bytes(spark, path, parts())
+
+
+def _kept(df: DataFrame) -> str:
+    """df written down in the shared folder: its path."""
+    path = f"{shared_dir(df.sparkSession)}/orespark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path

@@ -11,7 +11,8 @@ from orespark.plans import queries as plans
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
-SOME = ["zscore_anomaly", "crs_forward", "nearest_join_1km", "distance_label_rule", "raster_sample_wide", "raster_warp_bilinear", "gradient_2d", "all_derivatives", "spatial_grid_folds", "smote_synthesize", "roc_curve", "pr_auc_trapezoid", "fold_metric_summary", "literal_points_union"]
+SOME = ["zscore_anomaly", "crs_forward", "nearest_join_1km", "distance_label_rule", "raster_sample_wide", "raster_warp_bilinear", "gradient_2d", "all_derivatives", "spatial_grid_folds", "smote_synthesize", "roc_curve", "pr_auc_trapezoid", "fold_metric_summary", "literal_points_union",
+        "geopackage_roundtrip", "raster_roundtrip", "paged_layer", "table_cache", "training_set", "raster_reproject", "grid_features", "grid_scoring_raster", "model_roundtrip", "forest_scores_each_row", "shap_additivity", "shap_views"]
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +38,4 @@ def test_oracle(spark, db, name):
 
 def test_registered():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(plans.QUERIES) >= 75
+    assert len(plans.QUERIES) >= 100
