@@ -33,7 +33,7 @@ OTHER, LETTER, NUMBER, BLANK = range(4)
 #: What may follow an apostrophe as one word with it (fixed values).
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Text that is cut at once.
-SLICE = 1 << 18
+SLICE = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -277,7 +277,7 @@ def merge_many(words: list[bytes], single: np.ndarray, table: PairTable) -> tupl
 class Encoder:
     """Ids of texts. The ids of words are kept while there are at most MOST, for they come again and again."""
 
-    MOST = 100_000
+    MOST = 200_000
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, classes: np.ndarray):
         self.vocabulary, self.lexicon, self.classes = vocabulary, lexicon, classes

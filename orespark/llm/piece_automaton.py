@@ -209,7 +209,8 @@ class Counter:
             tail = parts.pop()
             count = sum(auto.run(auto.start, p)[1] for p in parts)
         state, n = auto.run(auto.start, tail)
-        return ChunkMap(auto, head, True, state, auto.run(auto.start, head)[1] + count + n)
+        first = self.words[head[1:]] if head[0] == SPACE and SPACE not in head[1:] else auto.run(auto.start, head)[1]
+        return ChunkMap(auto, head, True, state, first + count + n)
 
     def read(self, text: str, chunk: int) -> ChunkMap:
         """The map of a text that entries spell like this, of any length, read chunk by chunk."""
