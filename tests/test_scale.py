@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orespark.config import GridMeta
 from orespark.functions import columns as C
-from orespark.operators import dataset, grid, models
+from orespark.operators import dataset, grid, models, spatial
 from orespark.operators.quantiles import quantiles
 from orespark.sources import files, geopackage, rasters
 
@@ -110,3 +110,45 @@ def test_the_edge_of_a_grid_is_followed(spark):
     source = GridMeta(-67.0, 48.0, 0.05, 0.05, 40, 20)
     loose, fine = grid.projected_grid(spark, source, 100.0, 1), grid.projected_grid(spark, source, 100.0, 50)
     assert fine.height > loose.height  # the sides bend outwards
+
+
+def most_rows(plan) -> int:
+    """Rows out of the operator of an executed plan that gives most."""
+    name, found = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+    below = plan.children()
+    return max([found.get().value() if found.isDefined() else 0, *map(most_rows, inner), *(most_rows(below.apply(i)) for i in range(below.size()))])
+
+
+def nearest(left, right, radius):
+    out = {}
+    for p, x, y in left:
+        met = [(float(np.hypot(x - sx, y - sy)), s) for s, sx, sy in right if None not in (x, y, sx, sy)]
+        out[p] = min([m for m in met if m[0] <= radius], default=(None, None))
+    return out
+
+
+def test_nearest_of_uneven_sites(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CELL_PLACES", 3)
+    rng = np.random.default_rng(10)
+    place = lambda n: [*np.round(rng.uniform(-3000, 3000, (n, 2)), 1).tolist(), *np.round(rng.normal(700, 20, (n, 2)), 3).tolist(), *np.round(rng.integers(-3, 3, (n, 2)) * 250.0, 1).tolist()]
+    left = [(i, *xy) for i, xy in enumerate([*place(60), (None, 0.0), (0.0, float("nan")), (float("inf"), 0.0), (-0.0, 0.0), (9e6, 9e6)])]
+    right = [(1000 - i, *xy) for i, xy in enumerate([*place(50), (None, 1.0), (float("nan"), 0.0), (0.0, -float("inf"))])]
+    a, b = spark.createDataFrame(left, "p int, x double, y double"), spark.createDataFrame(right, "s int, x double, y double")
+    for radius in (50.0, 1000.0, 9000.0):
+        got = {r.p: (r.dist, r.s) for r in spatial.nearest_join(a, b, radius=radius, left_id="p", right_id="s").collect()}
+        want = nearest(left, right, radius)
+        assert got.keys() == want.keys()
+        for p, (dist, s) in want.items():
+            assert got[p][1] == s and (dist is None or abs(got[p][0] - dist) < 1e-9), (radius, p)
+    assert spatial.nearest_join(a, b.where("false"), radius=50.0, left_id="p", right_id="s").where("s is null and dist is null").count() == len(left)
+
+
+@pytest.mark.parametrize("places", [1, 1500])
+def test_nearest_does_not_meet_all_pairs(spark, places):
+    """All within the radius of each other, whether at one place or at many."""
+    at = lambda name, k: spark.range(1500).selectExpr(f"id AS {name}", f"double(id % {places} * {k} % 1511) AS x", f"double(id % {places} * {k + 20} % 1499) AS y")
+    df = spatial.nearest_join(at("p", 37), at("s", 101), radius=10000.0, left_id="p", right_id="s")
+    rows = df.collect()
+    assert len(rows) == 1500 and all(r.s is not None for r in rows)
+    assert most_rows(df._jdf.queryExecution().executedPlan()) < 1500 * 100
