@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from orespark.config import GridMeta
 from orespark.functions import columns as C
 from orespark.operators import dataset, grid, models, spatial
 from orespark.operators.quantiles import quantiles
+from orespark.plans import queries as plans
 from orespark.sources import files, geopackage, rasters
 
 
@@ -152,3 +154,22 @@ def test_nearest_does_not_meet_all_pairs(spark, places):
     rows = df.collect()
     assert len(rows) == 1500 and all(r.s is not None for r in rows)
     assert most_rows(df._jdf.queryExecution().executedPlan()) < 1500 * 100
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """The smallest tables, parts and suppliers 60 times with keys that put the copies at the same places."""
+    to, db = tmp_path_factory.mktemp("crowded"), duckdb.connect()
+    for name, key, copies in (("part", "p_partkey", 60), ("supplier", "s_suppkey", 60), ("orders", "o_orderkey", 1)):
+        db.execute(f"COPY (SELECT * REPLACE ({key} + 10007 * i AS {key}) FROM '/root/testdata/sf0.001/{name}.parquet', range({copies}) r(i)) TO '{to}/{name}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{to}/{name}.parquet'")
+    return str(to), db
+
+
+def test_the_matrix_of_crowded_places(spark, crowded):
+    d, db = crowded
+    df = plans.QUERIES["feature_matrix_full"](spark, d)
+    got, names = df.collect(), ", ".join(df.columns)
+    want = db.execute(f"SELECT {names} FROM ({plans.ORACLES['feature_matrix_full']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == 12_000
+    assert most_rows(df._jdf.queryExecution().executedPlan()) < 60_000
