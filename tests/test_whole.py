@@ -105,3 +105,12 @@ def test_the_whole_raster_is_warped_and_scored(spark):
         assert (rows[k] is None) == (v is None) and (v is None or abs(rows[k] - v) < 1e-3), k
     scored = plans.QUERIES["grid_scoring"](spark, "/root/testdata/sf0.1").select("cell_id", "score").collect()
     assert sorted(r.cell_id for r in scored) == list(range(grid.size)) and all(r.score is not None for r in scored)
+
+
+@pytest.mark.parametrize("name", ["model_roundtrip", "grid_scoring"])
+def test_models_read_the_matrix_from_a_file(spark, monkeypatch, name):
+    """Medians, fitting and scoring read it many times; its joins run once."""
+    seen, train = [], plans.models.train
+    monkeypatch.setattr(plans.models, "train", lambda rows, *a, **k: seen.append(rows) or train(rows, *a, **k))
+    assert not plans.QUERIES[name](spark, SMALL).isEmpty()
+    assert seen and all("Join" not in r._jdf.queryExecution().executedPlan().toString() for r in seen)
