@@ -114,3 +114,14 @@ def test_models_read_the_matrix_from_a_file(spark, monkeypatch, name):
     monkeypatch.setattr(plans.models, "train", lambda rows, *a, **k: seen.append(rows) or train(rows, *a, **k))
     assert not plans.QUERIES[name](spark, SMALL).isEmpty()
     assert seen and all("Join" not in r._jdf.queryExecution().executedPlan().toString() for r in seen)
+
+
+def test_scores_become_a_raster_without_the_driver(spark, monkeypatch):
+    """Neither the scores nor the decoded raster pass the driver."""
+    def refused(*a):
+        raise AssertionError("on the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refused)
+    monkeypatch.setattr("orespark.sources.rasters.read_tiff", refused)
+    rows = plans.QUERIES["grid_scoring_raster"](spark, SMALL).collect()
+    assert len(rows) == raster(SMALL).size and all(r.scored and r.written and r.model == "rf" for r in rows)
