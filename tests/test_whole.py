@@ -125,3 +125,10 @@ def test_scores_become_a_raster_without_the_driver(spark, monkeypatch):
     monkeypatch.setattr("orespark.sources.rasters.read_tiff", refused)
     rows = plans.QUERIES["grid_scoring_raster"](spark, SMALL).collect()
     assert len(rows) == raster(SMALL).size and all(r.scored and r.written and r.model == "rf" for r in rows)
+
+
+def test_trees_are_not_sent_anew(spark):
+    rows = plans.embedded(spark, SMALL)
+    for kind, params in (("rf", {"numTrees": 6, "maxDepth": 6}), ("gbt", {"maxIter": 3, "maxDepth": 3})):
+        made, plain = plans.models.fit(rows, kind, **params), plans.models.fit(rows, kind, cacheNodeIds=False, **params)
+        assert made.getCacheNodeIds() and made.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
