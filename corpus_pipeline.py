@@ -44,7 +44,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each row's text; null and empty texts have none."""
     import public_tokenizers
 
-    encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

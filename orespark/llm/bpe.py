@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, mix64, small_batches, text_slices
+from .common import as_texts, give_back, mix64, small_batches, text_slices
 from .lexicon import Lexicon, compile_lexicon
 
 #: Entries of the lexicon at most, and bytes of a word in it; a word must stand MIN_COUNT times in the corpus.
@@ -341,6 +341,7 @@ def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
             if len(held) > HELD:
                 yield flush()
         yield flush()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -353,48 +354,52 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, entries: int = MOST_E
     return compile_lexicon([(w, tuple(vocabulary.merge(w))) for w in words])
 
 
-def bpe_encode(docs: DataFrame, vocabulary_file: str, *, id_col: str = "doc_id", text_col: str = "text", entries: int = MOST_ENTRIES) -> DataFrame:
-    """doc_id, ids (array of int), decoded (text of these ids) for each row.
+def bpe_encode(docs: DataFrame, vocabulary_file: str, *, id_col: str = "doc_id", text_col: str = "text", entries: int = MOST_ENTRIES, decode: bool = True) -> DataFrame:
+    """doc_id, ids (array of int) and, with ``decode``, decoded (text of these ids) for each row.
 
     Ids and texts are those of the vocabulary's library: a special string inside a text is its token; null texts count as
     empty and have no ids. Rows are independent; repeated rows and null ids stay. An empty table gives an empty result.
     Other columns are not read.
     """
-    return _encode(docs, vocabulary_file, id_col, text_col, entries, digests=False)
+    return _encode(docs, vocabulary_file, id_col, text_col, entries, "ids array<int>, decoded string" if decode else "ids array<int>")
 
 
 def bpe_digests(docs: DataFrame, vocabulary_file: str, *, id_col: str = "doc_id", text_col: str = "text", entries: int = MOST_ENTRIES) -> DataFrame:
     """The same as doc_id, n_tokens, ids_sha256 (of the ids joined by commas), decoded_sha256."""
-    return _encode(docs, vocabulary_file, id_col, text_col, entries, digests=True)
+    return _encode(docs, vocabulary_file, id_col, text_col, entries, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _encode(docs, vocabulary_file, id_col, text_col, entries, digests):
+def _encode(docs, vocabulary_file, id_col, text_col, entries, returned):
     small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(vocabulary_file)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blob = build_lexicon(docs, vocabulary, entries)
     sent = docs.sparkSession.sparkContext.broadcast({"lexicon": blob, "classes": character_classes(), "vocabulary": (vocabulary.pieces, vocabulary.single, vocabulary.pairs, vocabulary.special)})
+    digests, decode = "ids_sha256" in returned, "decoded" in returned
 
     def run(batches):
         kept = sent.value  # a worker keeps it, and what is made from it, for its later tasks
         if "encoder" not in kept:
             kept["encoder"] = Encoder(Vocabulary(*kept["vocabulary"]), Lexicon(kept["lexicon"]), kept["classes"])
         encoder: Encoder = kept["encoder"]
-        pieces, names = encoder.vocabulary.pieces, [str(i) for i in range(len(encoder.vocabulary.pieces))]
+        pieces = encoder.vocabulary.pieces
+        names = [str(i) for i in range(len(pieces))] if digests else []
         for batch in text_slices(batches, limit=SLICE):
-            rows = []
+            ids, n, hashed, back = [], [], [], []
             for got in encoder.encode(as_texts(batch.column("text"))):
-                ids = got.tolist()
-                back = b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace")
+                if not digests:
+                    ids.append(got)
+                if decode:
+                    listed = got.tolist()
+                    text = b"".join(map(pieces.__getitem__, listed)).decode("utf-8", "replace")
+                    back.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
                 if digests:
-                    rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-                else:
-                    rows.append((got, back))
-            columns = [list(c) for c in zip(*rows)]
-            if not digests:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.string())], names=["doc_id", "ids", "decoded"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    n.append(len(listed))
+                    hashed.append(hashlib.sha256(",".join(map(names.__getitem__, listed)).encode()).hexdigest())
+            columns = [pa.array(n, pa.int64()), pa.array(hashed, pa.string())] if digests else [pa.array(ids, pa.list_(pa.int32()))]
+            columns += [pa.array(back, pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(c.split()[0] for c in returned.split(", "))])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"))
+    return docs.mapInArrow(run, f"doc_id {kind}, {returned}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -164,6 +165,13 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             start = stop
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: workers outlive their tasks, and allocators keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orespark.llm import decontaminate, langid, pii
+from orespark.llm import common, decontaminate, langid, pii
 
 from test_decontaminate import least_edits
 from test_llm import brute_components
@@ -93,3 +93,20 @@ def test_the_whole(spark):
     want = sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in kept.collect())
     assert sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, DIR).collect()) == want
     assert len(want) > 50
+
+
+def test_encoding_makes_no_text_that_it_drops(spark, docs):
+    assert "decoded" not in STAGE["encoding"](spark, docs, DIR)._jdf.queryExecution().toString()
+
+
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return sum(int(line.split()[1]) for line in file if line.startswith("Anonymous:")) // 1024
+
+    blocks = [bytes(700) for _ in range(300_000)]
+    few = blocks[::3000]  # freed blocks between these stay with the allocator
+    del blocks
+    before = held()
+    common.give_back()
+    assert before - held() > 100 and len(few) == 100
