@@ -173,3 +173,14 @@ def test_the_matrix_of_crowded_places(spark, crowded):
     want = db.execute(f"SELECT {names} FROM ({plans.ORACLES['feature_matrix_full']})").fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == 12_000
     assert most_rows(df._jdf.queryExecution().executedPlan()) < 60_000
+
+
+def test_points_are_sampled_row_by_row(spark):
+    """Points that share an id, or have none, or lie outside the grid, each have the values of their own cell."""
+    cells = spark.range(60 * 60).selectExpr("int(id div 60) AS row", "int(id % 60) AS col", "double(id) AS v").selectExpr("row", "col", "inline(array(struct('a' AS band, v AS value), struct('b' AS band, if(row = 50, null, -v) AS value), struct('c' AS band, 0D AS value)))")
+    at = [(1, 10.5, 49.5), (1, 11.5, 48.5), (None, 12.5, 9.5), (2, -5.0, 10.0), (3, None, 1.0), (4, 10.5, 49.5)]
+    got = grid.sample_wide(spark.createDataFrame(at, "id int, x double, y double"), cells, GridMeta(0.0, 60.0, 1.0, 1.0, 60, 60), ["a", "b"])
+    assert got.columns == ["id", "x", "y", "a", "b"]
+    want = [(1, 10.5, 49.5, 610.0, -610.0), (1, 11.5, 48.5, 671.0, -671.0), (None, 12.5, 9.5, 3012.0, None), (2, -5.0, 10.0, None, None), (3, None, 1.0, None, None), (4, 10.5, 49.5, 610.0, -610.0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert grid.sample_wide(got.select("id", "x", "y").where("false"), cells, GridMeta(0.0, 60.0, 1.0, 1.0, 60, 60), ["a"]).count() == 0
