@@ -172,6 +172,13 @@ def give_back() -> None:
         trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and return the heap that is free then. A JVM keeps what it once took, and the
+    Python workers beside it need that memory."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
