@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +26,8 @@ ROWS_A_FILE = 250_000
 #: Rows of one key that a task gets before the key is spread over several, and keys that can be spread at once: a key with
 #: more than 1 / MOST_HEAVY of all rows is one of MOST_HEAVY at most, so the list of them has a fixed size.
 SPREAD_ROWS, MOST_HEAVY = 1000, 1 << 14
+#: The part of its heap that the driver's JVM may have taken when a table is written down, before it collects its garbage.
+DRIVER_TAKEN = 0.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,7 @@ def write_down(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataF
     folder = f"{shared_dir(df.sparkSession)}/orespark/{uuid.uuid4().hex}"
     path = f"{folder}/{name}"
     (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
+    relieve_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), folder
 
 
@@ -172,9 +176,19 @@ def give_back() -> None:
         trim(0)
 
 
+def relieve_driver(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage, if more than DRIVER_TAKEN of its heap is taken, and return what is free then. What
+    finished queries leave can stay until the whole heap is collected, and the heap grows around it."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > DRIVER_TAKEN * heap.maxMemory():
+        gc.collect()  # Python's objects hold some of the JVM's
+        spark._jvm.java.lang.System.gc()
+
+
 def collect_garbage(spark: SparkSession) -> None:
-    """Let the executors' JVMs collect their garbage and return the heap that is free then. A JVM keeps what it once took, and the
-    Python workers beside it need that memory."""
+    """Let the executors' JVMs, and the driver's, collect their garbage and return the heap that is free then. A JVM keeps what it
+    once took, and the Python workers beside it need that memory."""
+    relieve_driver(spark)
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
 

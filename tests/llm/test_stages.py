@@ -123,3 +123,17 @@ def test_later_stages_begin_with_the_heap_given_back(spark, docs, monkeypatch):
     for _, stage in corpus_pipeline.STAGES[1:]:
         with pytest.raises(Begun):
             stage(spark, docs, DIR)
+
+
+def whole_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+
+@pytest.mark.parametrize("taken, collects", [(0, True), (1, False)])
+def test_the_driver_collects_garbage_between_tables_if_enough_is_taken(spark, monkeypatch, taken, collects):
+    monkeypatch.setattr(common, "DRIVER_TAKEN", taken, raising=False)
+    before = whole_collections(spark)
+    with common.scratch(spark):
+        common.materialize(spark.range(10).toDF("id"), "some")
+    assert (whole_collections(spark) > before) == collects
