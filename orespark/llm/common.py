@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .. import session
 from ..session import shared_dir
 
 #: Text that one step of a Python worker holds at once, and bytes of a batch that passes to it.
@@ -177,12 +177,8 @@ def give_back() -> None:
 
 
 def relieve_driver(spark: SparkSession) -> None:
-    """Let the driver's JVM collect its garbage, if more than DRIVER_TAKEN of its heap is taken, and return what is free then. What
-    finished queries leave can stay until the whole heap is collected, and the heap grows around it."""
-    heap = spark._jvm.java.lang.Runtime.getRuntime()
-    if heap.totalMemory() - heap.freeMemory() > DRIVER_TAKEN * heap.maxMemory():
-        gc.collect()  # Python's objects hold some of the JVM's
-        spark._jvm.java.lang.System.gc()
+    """Let the driver's JVM collect its garbage, if more than DRIVER_TAKEN of its heap is taken."""
+    session.relieve_driver(spark, DRIVER_TAKEN)
 
 
 def collect_garbage(spark: SparkSession) -> None:

@@ -79,6 +79,30 @@ def test_large_rasters_by_tiles(spark, tmp_path):
     assert (got.width, got.height, got.y0, tags) == (530, 600, 600.0, {"units": "x"}) and np.nansum(whole) == cells.agg(F.sum("value")).first()[0]
 
 
+def test_a_raster_passes_the_driver_in_parts(spark, tmp_path, monkeypatch):
+    """Of a raster that is written, some tiles at once; of one that is read, no bytes at all, for its tags neither."""
+    passed, frame = [], type(spark.range(1))
+    whole, some = frame.collect, frame.toLocalIterator
+
+    def collect(self):
+        rows = whole(self)
+        passed.extend(("whole", len(v)) for r in rows for v in r if isinstance(v, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", collect)
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a: passed.append(("parts", self.rdd.getNumPartitions())) or some(self, *a))
+    monkeypatch.setattr(rasters, "PASSED_BYTES", 300_000, raising=False)
+    meta = GridMeta(0.0, 1000.0, 1.0, 1.0, 1000, 1000)
+    cells = spark.range(1000 * 1000).selectExpr("int(id div 1000) AS row", "int(id % 1000) AS col", "hash(id) / 1e9 AS value")
+    rasters.write_raster(cells, meta, path := str(tmp_path / "a" / "a.tif"), {"model": "rf"})
+    size = (tmp_path / "a" / "a.tif").stat().st_size
+    assert rasters.read_tags(spark, path) == {"model": "rf"} and size > 3_000_000
+    tiles = size - len(rasters.tiff_head(meta, [0] * 16, {"model": "rf"}, 2953, True))
+    assert passed == [("parts", 1 + tiles // 300_000)]
+    back = rasters.read_rasters(spark, str(tmp_path / "a"))
+    assert back.join(cells.withColumnRenamed("value", "v"), ["row", "col"]).where("value = double(float(v))").count() == 1000 * 1000
+
+
 def test_many_points_are_many_files(spark, tmp_path):
     pts = spark.range(50).selectExpr("double(id) AS x", "if(id = 3, NULL, double(-id)) AS y", "concat('n', id) AS name")
     geopackage.write_layer(pts, str(tmp_path / "l"), "sites", rows=20)
